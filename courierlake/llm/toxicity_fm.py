@@ -22,7 +22,7 @@ from .shared import columns, small_batches, train_row
 #: Buckets that terms hash to, and labelled rows that a model is fitted on at most.
 BUCKETS, SAMPLE = 1 << 18, 20_000
 #: Terms in a model at most, and the association with the label that one needs (a likelihood ratio).
-TERMS, LEAST_G2, LEAST_ROWS = 2_048, 20.0, 4
+TERMS, LEAST_G2, LEAST_ROWS = 2_048, 15.0, 4
 #: Word beginnings that are terms, in characters.
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -72,9 +72,9 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8, epochs: int = 40, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the log loss with a quadratic penalty; the same rows give the same
-    model. Each label has half of the weight, and the bias is set back to the share of label 1 at last."""
+def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8, steps: int = 2_500, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam on the log loss with a quadratic penalty, in as many steps for few
+    rows as for many; the same rows give the same model."""
     rng = np.random.default_rng(seed)
     share = float(labels.mean())
     if not 0 < share < 1:
@@ -87,29 +87,29 @@ def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8,
     v[width] = 0
     moments = [np.zeros_like(x) for x in (w, w, v, v)]
     mb = sb = 0.0
-    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    step = 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), -(-len(rows) // 512)):
-            step += 1
-            ix = at[part]
-            vx = v[ix]
-            total = vx.sum(axis=1)
-            z = b + w[ix].sum(axis=1) + 0.5 * ((total**2) - (vx**2).sum(axis=1)).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * cost[part] / len(part)
-            gw = np.bincount(ix.ravel(), np.repeat(g, m), width + 1) + 1e-5 * w
-            each = (g[:, None, None] * (total[:, None, :] - vx)).reshape(-1, rank)
-            gv = np.stack([np.bincount(ix.ravel(), each[:, k], width + 1) for k in range(rank)], axis=1) + 1e-4 * v
-            for x, d, (p, q) in ((w, gw, (0, 1)), (v, gv, (2, 3))):
-                moments[p] += 0.1 * (d - moments[p])
-                moments[q] += 0.01 * (d * d - moments[q])
-                x -= 0.02 * (moments[p] / (1 - 0.9**step)) / (np.sqrt(moments[q] / (1 - 0.99**step)) + 1e-8)
-            w[width], v[width] = 0, 0
-            gb = float(g.sum())
-            mb += 0.1 * (gb - mb)
-            sb += 0.01 * (gb * gb - sb)
-            b -= 0.02 * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-8)
-    return b + float(np.log(share / (1 - share))), w[:width], v[:width]
+    step, queue = 0, []
+    while step < steps:
+        queue = queue or np.array_split(rng.permutation(len(rows)), -(-len(rows) // 512))
+        part = queue.pop()
+        step += 1
+        ix = at[part]
+        vx = v[ix]
+        total = vx.sum(axis=1)
+        z = b + w[ix].sum(axis=1) + 0.5 * ((total**2) - (vx**2).sum(axis=1)).sum(axis=1)
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) / len(part)
+        gw = np.bincount(ix.ravel(), np.repeat(g, m), width + 1) + 1e-5 * w
+        each = (g[:, None, None] * (total[:, None, :] - vx)).reshape(-1, rank)
+        gv = np.stack([np.bincount(ix.ravel(), each[:, k], width + 1) for k in range(rank)], axis=1) + 1e-4 * v
+        for x, d, (p, q) in ((w, gw, (0, 1)), (v, gv, (2, 3))):
+            moments[p] += 0.1 * (d - moments[p])
+            moments[q] += 0.01 * (d * d - moments[q])
+            x -= 0.02 * (moments[p] / (1 - 0.9**step)) / (np.sqrt(moments[q] / (1 - 0.99**step)) + 1e-8)
+        w[width], v[width] = 0, 0
+        gb = float(g.sum())
+        mb += 0.1 * (gb - mb)
+        sb += 0.01 * (gb * gb - sb)
+        b -= 0.02 * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-8)
+    return b, w[:width], v[:width]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
