@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_tokens, simhash_tree, toxicity_fm
+from . import passage_chains, piece_tokens, simhash_tree, toxicity_fm
 from .shared import held_out, table
 
 
@@ -36,6 +36,13 @@ def op7_sentencepiece_prefix_tables(spark: SparkSession, sf_dir: str) -> DataFra
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage of a document that an earlier one (``match_doc_id``) holds."""
+    found = passage_chains.repeated_passages(table(spark, sf_dir, "documents"))
+    p = found.select("doc_id", F.explode("passages").alias("p"))
+    return p.select("doc_id", F.col("p.ref_id").alias("match_doc_id"), F.col("p.start").alias("start_word"), F.col("p.end").alias("end_word"), (F.col("p.end") - F.col("p.start")).alias("n_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

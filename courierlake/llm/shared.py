@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courierlake.session import ship
+
 #: Words are maximal runs of bytes outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that Spark hands to Python at once. Texts can be long, so the default of 10,000 is too many.
@@ -43,7 +45,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows in an Arrow batch, unless the session asks for fewer already."""
+    """Readies a session for Python functions over long texts: executors get the package, and the rows in an
+    Arrow batch are bounded, unless the session asks for fewer already."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
