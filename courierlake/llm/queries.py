@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import passage_chains, piece_tokens, simhash_tree, toxicity_fm
+from . import budget_mix, embedding_lsh, media_shards, passage_chains, piece_tokens, quality_qda, simhash_tree, toxicity_fm, url_markov, warc_zstd
 from .shared import held_out, table
 
 
@@ -18,6 +18,26 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_media_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = media_shards.store(table(spark, sf_dir, "documents"))
+    back = media_shards.read_back(media_shards.headers(index))
+    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = budget_mix.mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_tree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,6 +56,11 @@ def op7_sentencepiece_prefix_tables(spark: SparkSession, sf_dir: str) -> DataFra
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_warc_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zstd.write(table(spark, sf_dir, "pages"))
+    return warc_zstd.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each passage of a document that an earlier one (``match_doc_id``) holds."""
     found = passage_chains.repeated_passages(table(spark, sf_dir, "documents"))
@@ -43,6 +68,11 @@ def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("p.ref_id").alias("match_doc_id"), F.col("p.start").alias("start_word"), F.col("p.end").alias("end_word"), (F.col("p.end") - F.col("p.start")).alias("n_words"))
 
 
+def op10_embedding_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
