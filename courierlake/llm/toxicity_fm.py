@@ -79,12 +79,8 @@ def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8,
     share = float(labels.mean())
     if not 0 < share < 1:
         return (40.0 if share else -40.0), np.zeros(width), np.zeros((width, rank))
-    m = max(1, max(map(len, rows)))
-    at = np.full((len(rows), m), width)  # the last column stands for nothing
-    for i, r in enumerate(rows):
-        at[i, : len(r)] = r
-    w, v, b = np.zeros(width + 1), rng.normal(0, 0.02, (width + 1, rank)), 0.0
-    v[width] = 0
+    flat = [np.array(r, np.int64) for r in rows]
+    w, v, b = np.zeros(width), rng.normal(0, 0.02, (width, rank)), 0.0
     moments = [np.zeros_like(x) for x in (w, w, v, v)]
     mb = sb = 0.0
     step, queue = 0, []
@@ -92,24 +88,23 @@ def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8,
         queue = queue or np.array_split(rng.permutation(len(rows)), -(-len(rows) // 512))
         part = queue.pop()
         step += 1
-        ix = at[part]
+        ix, of = np.concatenate([flat[i] for i in part]), np.repeat(np.arange(len(part)), [len(flat[i]) for i in part])
         vx = v[ix]
-        total = vx.sum(axis=1)
-        z = b + w[ix].sum(axis=1) + 0.5 * ((total**2) - (vx**2).sum(axis=1)).sum(axis=1)
+        total = np.stack([np.bincount(of, vx[:, k], len(part)) for k in range(rank)], axis=1)
+        z = b + np.bincount(of, w[ix], len(part)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(of, (vx**2).sum(axis=1), len(part)))
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) / len(part)
-        gw = np.bincount(ix.ravel(), np.repeat(g, m), width + 1) + 1e-5 * w
-        each = (g[:, None, None] * (total[:, None, :] - vx)).reshape(-1, rank)
-        gv = np.stack([np.bincount(ix.ravel(), each[:, k], width + 1) for k in range(rank)], axis=1) + 1e-4 * v
+        gw = np.bincount(ix, g[of], width) + 1e-5 * w
+        each = g[of, None] * (total[of] - vx)
+        gv = np.stack([np.bincount(ix, each[:, k], width) for k in range(rank)], axis=1) + 1e-4 * v
         for x, d, (p, q) in ((w, gw, (0, 1)), (v, gv, (2, 3))):
             moments[p] += 0.1 * (d - moments[p])
             moments[q] += 0.01 * (d * d - moments[q])
             x -= 0.02 * (moments[p] / (1 - 0.9**step)) / (np.sqrt(moments[q] / (1 - 0.99**step)) + 1e-8)
-        w[width], v[width] = 0, 0
         gb = float(g.sum())
         mb += 0.1 * (gb - mb)
         sb += 0.01 * (gb * gb - sb)
         b -= 0.02 * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.99**step)) + 1e-8)
-    return b, w[:width], v[:width]
+    return b, w, v
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
