@@ -1 +1 @@
-"""functions."""
+"""Column functions: text folding, tokens and grams, message scalars, MIME parsing."""
