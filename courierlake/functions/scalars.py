@@ -179,7 +179,7 @@ GENERIC_LABELS = (
 def folder_of_labels(labels: Column) -> Column:
     """The folder of a comma-separated list of labels: without status labels, the first that isn't a general
     folder, else the first; the first of all if nothing else is left, and ``Unknown`` for an empty list."""
-    every = F.filter(F.transform(F.split(F.coalesce(labels, F.lit("")), ","), F.trim), lambda x: x != "")
+    every = F.filter(F.transform(F.split(F.coalesce(labels, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     rest = F.filter(every, lambda x: ~x.isin(*STATUS_LABELS))
     own = F.filter(rest, lambda x: ~x.isin(*dict.fromkeys(GENERIC_LABELS)))
     first = lambda a: F.try_element_at(a, F.lit(1))

@@ -94,6 +94,10 @@ def has_phrase(seq: Column, term: str) -> Column:
     return seq.contains(" " + " ".join(words) + " ") if words else F.lit(False)
 
 
+def _replacing(a: str, b: str):
+    return lambda x: F.replace(x, F.lit(a), F.lit(b))
+
+
 def grams(x: Column) -> Column:
     """The distinct folded windows of three characters over the whole text, spaces included."""
     s = fold_singles(F.coalesce(x, F.lit("")))
@@ -101,7 +105,7 @@ def grams(x: Column) -> Column:
     windows = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
     out = F.array_distinct(windows)
     for a, b in DOUBLE.items():
-        out = F.transform(out, lambda g, a=a, b=b: F.replace(g, F.lit(a), F.lit(b)))
+        out = F.transform(out, _replacing(a, b))
     return F.when(n >= 3, out).otherwise(F.array().cast("array<string>"))
 
 

@@ -38,6 +38,10 @@ def page_info(df: DataFrame, page: int, size: int) -> DataFrame:
     return df.agg(total.alias("total_items"), F.ceil(total / size).alias("total_pages")).select(F.lit(page).alias("current_page"), F.lit(size).alias("page_size"), "total_items", "total_pages")
 
 
+def _equal_to(w: str):
+    return lambda x: x == w
+
+
 def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id") -> DataFrame:
     """``df`` with ``score``: BM25 of the query's words, summed over the fields with their weights.
 
@@ -52,7 +56,7 @@ def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id") -
         own = X.tokens(F.col(f))
         out = out.withColumn(f"__t{i}", own).withColumn(f"__n{i}", F.size(f"__t{i}"))
         for j, w in enumerate(words):
-            out = out.withColumn(f"__c{i}_{j}", F.size(F.filter(F.col(f"__t{i}"), lambda x, w=w: x == w)))
+            out = out.withColumn(f"__c{i}_{j}", F.size(F.filter(F.col(f"__t{i}"), _equal_to(w))))
         out = out.drop(f"__t{i}")
     totals = [F.count("*").cast("double").alias("__all")]
     for i in range(len(fields)):

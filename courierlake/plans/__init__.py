@@ -1 +1 @@
-"""plans."""
+"""The registered queries: operators applied to the driver's tables, with the SQL that gives the same rows."""

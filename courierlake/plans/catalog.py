@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..session import ship
+from . import search_queries, table_queries  # noqa: F401  they register their queries
+from .registry import FOUND, SQL
 
-def _search_page_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(20).select("o_orderkey", "o_orderdate")
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"search_page_date": _search_page_date}
+    return {name: _shipped(f) for name, f in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"search_page_date": "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 20 offset 20"}
+    return dict(SQL)

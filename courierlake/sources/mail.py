@@ -21,8 +21,8 @@ def detect_format(content: Column, name: Column) -> Column:
     """``pst``, ``mbox`` or ``eml`` by the first bytes, else by the name; null if neither tells. A mailbox needs a
     first line of seven words or more."""
     head, low = F.substring(content, 1, 4096), F.lower(name)
-    line = F.regexp_extract(F.decode(head, F.lit("ISO-8859-1")), r"^([^\n]*)\n", 1)
-    text = F.decode(F.substring(content, 1, 16), F.lit("ISO-8859-1"))
+    line = F.regexp_extract(F.decode(head, "ISO-8859-1"), r"^([^\n]*)\n", 1)
+    text = F.decode(F.substring(content, 1, 16), "ISO-8859-1")
     starts = F.lit(False)
     for h in HEADERS:
         starts = starts | text.startswith(h)
