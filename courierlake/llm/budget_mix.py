@@ -134,9 +134,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     edge = F.expr("""aggregate(l, named_struct('sum', 0L, 'at', -1, 'left', 0L), (a, x) -> if(a.at >= 0, a,
         if(a.sum + x.c >= more, named_struct('sum', a.sum, 'at', x.range, 'left', more - a.sum), named_struct('sum', a.sum + x.c, 'at', -1, 'left', 0L))))""")
     edges = lists.select("s", "z", edge.alias("e")).select("s", "z", F.col("e.at").alias("at"), F.col("e.left").alias("left"))
-    planned = plan.join(edges, plan["source"].eqNullSafe(edges["s"]) & (plan["size"] == edges["z"]), "left").select(
+    planned = settled(plan.join(edges, plan["source"].eqNullSafe(edges["s"]) & (plan["size"] == edges["z"]), "left").select(
         F.col("source").alias("s"), F.col("size").alias("z"), "whole", "n", "more", "source_size", "target", "at", "left"
-    )
+    ))  # written, so that the join with the rows has exchanges of its own and splits hot lengths
     held = rows.join(planned, rows["source"].eqNullSafe(planned["s"]) & (rows["size"] == planned["z"])).withColumn("range", ranged)
     at_edge = F.coalesce(F.col("range") == F.col("at"), F.lit(False))
     sure = F.when(F.col("more") == 0, 0).when(F.col("more") == F.col("n"), 1).when(F.col("range") < F.col("at"), 1).otherwise(0)

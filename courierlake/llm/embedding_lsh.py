@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import columns, settled, small_batches
+from .shared import apart, columns, settled, small_batches
 
 #: Tables with two hashes; each further hash doubles them, as it makes a near pair meet about half as often.
 TABLES, PROBES = 6, 4
@@ -186,7 +186,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     sizes = entries.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"))
     sizes = sizes.where("n > 1 and n_own > 0").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     # A bucket of several blocks becomes all pairs of them, each with its own part of the work.
-    placed = entries.join(sizes, ["dim", "t", "bucket"]).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    sizes = sizes.select("dim", "t", apart("bucket").alias("k"), "blocks")
+    placed = entries.withColumn("k", apart("bucket")).join(sizes, ["dim", "t", "k"]).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("dim", "t", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "own", "mine")
     full = placed.join(coded.select("c", "x", "codes", "w"), "c")
@@ -211,7 +212,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     joined = coded.join(links, "c", "left").join(of.withColumnRenamed("node", "c"), "c", "left")
     joined = joined.select("v", "least_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(ids, "component").select("v", "n_links", "component_id")
+    named = joined.withColumn("k", apart("component")).join(ids.select(apart("component").alias("k"), "component_id"), "k").select("v", "n_links", "component_id")
     linked = rows.where("v is not null").join(named, "v").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumnRenamed("id", key)

@@ -44,6 +44,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(key: str) -> Column:
+    """An expression of a whole-number key to join by. An aggregation joined by its own key keeps its partitions,
+    so a hot key stays in one task; by an expression both sides get exchanges, whose hot partitions adaptive
+    execution splits."""
+    return F.bitwise_not(F.col(key))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Readies a session for Python functions over long texts: executors get the package, and the rows in an
     Arrow batch are bounded, unless the session asks for fewer already."""

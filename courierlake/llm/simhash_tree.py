@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WORD, columns, settled, small_batches
+from .shared import WORD, apart, columns, settled, small_batches
 
 #: Fingerprints on which the tree is built, and the number meant for a shard.
 SAMPLE, SHARD = 20_000, 1_024
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, sample:
     of = connected_components(links)
     joined = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(ids, "component").select("fp", "component_id")
+    named = joined.withColumn("k", apart("component")).join(ids.select(apart("component").alias("k"), "component_id"), "k").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
