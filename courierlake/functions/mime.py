@@ -49,13 +49,12 @@ def repaired(data: bytes, charset: str | None = None) -> str:
     return data.decode("latin-1")
 
 
-@F.pandas_udf("string")
 def _header(x: pd.Series) -> pd.Series:
     return x.map(decoded_header, na_action="ignore")
 
 
 def header_text(x: Column) -> Column:
-    return _header(x)
+    return F.pandas_udf(_header, "string")(x)
 
 
 MESSAGE = (
@@ -99,14 +98,13 @@ def parsed(raw: bytes) -> dict:
     return out
 
 
-@F.pandas_udf(MESSAGE)
 def _parse(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parsed(r or b"") for r in x], columns=list(parsed(b"")))
 
 
 def parse_message(raw: Column) -> Column:
     """A raw message as a struct."""
-    return _parse(raw)
+    return F.pandas_udf(_parse, MESSAGE)(raw)
 
 
 def office_text(ext: str | None, data: bytes | None) -> str | None:
@@ -125,7 +123,6 @@ def office_text(ext: str | None, data: bytes | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
 def _office(ext: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([office_text(e, d) for e, d in zip(ext, data)])
 
@@ -135,7 +132,7 @@ EXTRACTORS = {"default": _office}
 
 
 def extract_text(ext: Column, data: Column, extractor: str = "default") -> Column:
-    return EXTRACTORS[extractor](ext, data)
+    return F.pandas_udf(EXTRACTORS[extractor], "string")(ext, data)
 
 
 def placeholder(content_hash: str) -> bytes:

@@ -42,13 +42,12 @@ def looks_like_text(data: bytes) -> bool:
     return fine >= 0.9 * len(chars)
 
 
-@F.pandas_udf("boolean")
 def _text(x: pd.Series) -> pd.Series:
     return x.map(lambda b: looks_like_text(b or b""))
 
 
 def detect_text_file(content: Column) -> Column:
-    return _text(content)
+    return F.pandas_udf(_text, "boolean")(content)
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
