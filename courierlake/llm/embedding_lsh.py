@@ -98,14 +98,20 @@ def met_before(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
 
 def near_pairs(x: np.ndarray, codes: np.ndarray, own: np.ndarray, table: int, least: float, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """New pairs of rows from ``left`` and ``right`` with a cosine of ``least`` or more, of which one has its
-    own bucket here. ``same``: both are the same rows, and each pair counts once."""
+    own bucket here. ``same``: both are the same rows, and each pair counts once.
+
+    Two rows that look into each other's buckets meet twice in a table; the bucket of the first row counts.
+    """
     cos = x[left] @ x[right].T
     hit = (cos >= least) & (own[left][:, None] | own[right][None, :])
     if same:
         hit = np.triu(hit, 1)
     i, j = np.nonzero(hit)
-    fresh = ~met_before(codes[left[i]], codes[right[j]], table)
-    return left[i[fresh]], right[j[fresh]]
+    a, b = left[i], right[j]
+    host, guest = np.where(own[a], a, b), np.where(own[a], b, a)
+    twice = ~own[guest] & (codes[host, table, 1:] == codes[guest, table, :1]).any(axis=1)
+    fresh = ~(twice & (host > guest)) & ~met_before(codes[a], codes[b], table)
+    return a[fresh], b[fresh]
 
 
 def settings(n: int, dim: int) -> tuple[int, int]:
