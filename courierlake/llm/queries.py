@@ -77,5 +77,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: What SQL can express. Fitted models, stored pictures, SentencePiece, SimHash and the knapsack are tested against brute force.
+SQL = {
+    "op8_warc_zstandard": """with p as (select page_id, coalesce(html, '') as html from pages), d as (select page_id, strlen(html) as n, sha256(html) as digest from p),
+  f as (select digest, min(page_id) as first_id from d where n >= 100 group by digest)
+  select d.page_id, n as payload_bytes, d.digest as payload_digest, case when d.page_id <> first_id then 'revisit' else 'response' end as record_type,
+    case when d.page_id <> first_id then first_id end as refers_to from d left join f on f.digest = d.digest""",
+    "op10_embedding_cross_polytope": """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+  p as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+  r as (select vec_id as id, vec_id as c from v union select p.b, r.c from r join p on p.a = r.id), c as (select id, min(c) as component_id from r group by id),
+  n as (select a, count(*) as n_links from p group by a)
+  select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept from v join c on c.id = v.vec_id left join n on n.a = v.vec_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
