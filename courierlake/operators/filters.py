@@ -238,3 +238,11 @@ def retention_expired(cutoff: int, date: str = "date", internal: str = "internal
 def before_day(ts: Column, day: str) -> Column:
     """The UTC day of a timestamp is before a day."""
     return F.to_date(ts) < F.lit(day).cast("date")
+
+
+def download_due(now_ms: int, manual: Column, last_finished: Column, last_trigger: Column, interval_min: Column, cooldown_ms: int = 60_000) -> Column:
+    """Whether an account is to be fetched: never fetched or asked for by hand, or a minute behind the last end and
+    an interval (an hour unless set) behind the last start."""
+    rested = F.lit(now_ms) - F.coalesce(last_finished, F.lit(0)) > cooldown_ms
+    due = F.lit(now_ms) - last_trigger > F.coalesce(interval_min, F.lit(60)).cast("long") * 60_000
+    return last_trigger.isNull() | manual | (rested & due)
