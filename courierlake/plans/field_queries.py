@@ -81,7 +81,7 @@ def _(spark, d):
     return hits(t, AttachmentFilter(text="edoution"))
 
 
-@query("f37_download_due", "with {m} select id, (id % 5 = 0 or 1000000000000 - date > 60000 and 1000000000000 - date > (case when id % 2 = 0 then 60 else 6000000 end) * 60000) as due from messages")
+@query("f37_download_due", "with {m} select id, (id % 5 = 0 or 1000000000000 - date > 60000 and 1000000000000 - date > (case when id % 2 = 0 then 60 else 6000000 end) * cast(60000 as bigint)) as due from messages")
 def _(spark, d):
     k = F.col("id")
     return messages(spark, d).select("id", filters.download_due(1_000_000_000_000, k % 5 == 0, F.col("date"), F.col("date"), F.when(k % 2 == 1, 6_000_000)).alias("due"))

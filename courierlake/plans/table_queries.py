@@ -111,7 +111,7 @@ def _(spark, d):
 
 
 @query("dashboard", f"""with {{m}} select count(*) as messages, cast(sum(size) as bigint) as bytes, count(*) filter (regular_attachment_count >= 1) as with_attachment,
-  count(*) filter (regular_attachment_count < 1) as without_attachment, count(*) filter (date between {JAN_97} - 30 * {DAY} and {JAN_97}) as recent, max(date) as newest from messages""")
+  count(*) filter (regular_attachment_count < 1) as without_attachment, count(*) filter (date between {JAN_97} - cast(30 as bigint) * {DAY} and {JAN_97}) as recent, max(date) as newest from messages""")
 def _(spark, d):
     return facets.dashboard(messages(spark, d), JAN_97)
 
