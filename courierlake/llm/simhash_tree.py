@@ -28,6 +28,11 @@ SAMPLE, SHARD = 20_000, 1_024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 LEAF = 128
+#: Near copies of the pipeline: words in a shingle, the least similarity of shingle sets, and the bits in which
+#: fingerprints of candidates may differ: of pairs just at that similarity 98.5 % or more differ in no more.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 16
+#: Candidates that meet in a task at most, from each of two blocks.
+BLOCK = 32_768
 UPPER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _words = re.compile(WORD)
 
@@ -186,6 +191,158 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, sample:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 hashes (seed 42) of a text's word shingles. Fewer words than a shingle make one; no word makes none."""
+    words = _words.findall(text.translate(UPPER))
+    if not words:
+        return np.zeros(0, "<u8")
+    parts = {" ".join(words)} if len(words) < shingle else {" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))}
+    return np.sort(np.array([xxhash.xxh64_intdigest(x, seed=42) for x in parts], "<u8"))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of distinct shingles: a bit is set if it is in over half of them."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        bits += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """``(doc_id, text_id, key, fp, n)`` of each row, where equal shingle sets have equal keys; or ``(key, hashes)``."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (texts,) = columns(batch, "text")
+            # A few texts at a time, as the hashes of long ones are many.
+            for at in range(0, len(texts), 64):
+                sets = [shingle_set(t or "", shingle) for t in texts[at : at + 64]]
+                keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 64), batch.column(1).slice(at, 64), keys, pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "text_id", "key", "fp", "n"])
+
+    kind = "key bigint, hashes array<bigint>" if whole else "doc_id bigint, text_id bigint, key bigint, fp bigint, n bigint"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, kind)
+
+
+def close_pairs(pdf: pd.DataFrame, radius: int, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group whose fingerprints differ in ``radius`` bits or less, whose sizes allow the similarity and whose
+    components differ. ``every`` gives all such pairs; else each row gives those with the nearest and with the first row."""
+    fps, n, comp = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
+    home, block = pdf["home"].to_numpy(bool), pdf["block"].to_numpy()
+    two = block.min() != block.max()
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(fps), LEAF):
+        me = slice(at, at + LEAF)
+        d = np.bitwise_count(fps[me, None] ^ fps[None, :])
+        i, j = np.nonzero(d <= radius)
+        i += at
+        ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        ok &= (block[i] != block[j]) if two else True
+        i, j = i[ok], j[ok]
+        if every:
+            i, j = i[i < j], j[i < j]
+        elif len(i):
+            order = np.lexsort((j, d[i - at, j], i))
+            first = np.unique(i, return_index=True)[1]  # nonzero gives the rows in order
+            i, j = np.concatenate([i[order][first], i[first]]), np.concatenate([j[order][first], j[first]])
+        left.append(i)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _candidates(units: DataFrame, nodes: list, radius: int, similarity: float, every: bool, block: int) -> DataFrame:
+    """Distinct pairs of keys ``(a, b)`` that may be similar.
+
+    Units meet by size class, each class also with the next one, and in a class by the shard of the tree. What the
+    tree leaves in one piece of more than ``block`` units is dealt to pairs of blocks.
+    """
+    spark = units.sparkSession
+    sent = spark.sparkContext.broadcast(nodes)
+    base = -float(np.log(similarity))
+    kind = "grp bigint, shard bigint, key bigint, fp bigint, n bigint, comp bigint, home boolean"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp, n, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            who, shard = route(sent.value, fp.view(np.uint64), radius)
+            own = np.floor(np.log(np.maximum(n[who], 1)) / base).astype(np.int64)
+            for visit in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(own + visit), pa.array(shard.astype(np.int64)), *(pa.array(x[who]) for x in (key, fp, n, comp)), pa.array(np.full(len(who), not visit))], names=["grp", "shard", "key", "fp", "n", "comp", "home"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, s, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            parts = np.array([large.value.get(x, 1) for x in zip(g.tolist(), s.tolist())], np.int64)
+            own = (key.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+            rows = np.repeat(np.arange(len(parts)), parts)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+            lo, hi = np.minimum(own[rows], other), np.maximum(own[rows], other)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(7)), pa.array(own[rows]), pa.array(lo), pa.array(hi)], names=["grp", "shard", "key", "fp", "n", "comp", "home", "block", "lo", "hi"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["lo"].iat[0] != pdf["hi"].iat[0] and pdf["block"].nunique() == 1:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        pdf = pdf.sort_values("key", ignore_index=True)
+        i, j = close_pairs(pdf, radius, similarity, every)
+        key = pdf["key"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+
+    dealt = units.select("key", "fp", "n", "comp").mapInArrow(deal, kind)
+    counts = dealt.groupBy("grp", "shard").count().where(F.col("count") > block).collect()  # no more than rows / block
+    large = spark.sparkContext.broadcast({(r["grp"], r["shard"]): -(-r["count"] // block) for r in counts})
+    met = dealt.mapInArrow(blocks, kind + ", block bigint, lo bigint, hi bigint")
+    return met.groupBy("grp", "shard", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more, by whole sets."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    ids = units.join(keys, "key").select("text_id")
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id")).join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
+    sets = settled(_sets(texts, shingle, True))
+    a, b = (sets.select(apart("key").alias(f"k{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    both = pairs.select(apart("a").alias("ka"), apart("b").alias("kb"), "a", "b").join(a, "ka").join(b, "kb")
+    same = F.size(F.array_intersect("ha", "hb"))
+    return both.where(same >= F.lit(similarity) * (F.size("ha") + F.size("hb") - same)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """Components of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Returns ``doc_id`` and ``component_id``, the smallest ``doc_id`` reachable, for each row of ``docs``. Pairs whose
+    fingerprints differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before
+    it links. First each unit tries its nearest and its first candidate; then all candidates between the components
+    found are tried, so that only a group of copies that are already linked saves pairs. Texts of equal sets count as
+    one; null and empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest.
+    """
+    rows = settled(_sets(docs, shingle, False))
+    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("text_id").alias("text_id"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    n = units.count()
+    one_in = max(1, -(-n // sample))
+    seen = units.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("fp").toPandas()["fp"].to_numpy(np.int64)
+    nodes, _ = build_tree(seen.view(np.uint64), n / max(1, len(seen)), block, radius)
+
+    def named(links: DataFrame, of: DataFrame) -> DataFrame:
+        """``of`` with the components that the links join, whose ends are components of ``of``."""
+        tied = connected_components(links).withColumnRenamed("node", "comp")
+        return of.join(tied, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+
+    pairs = settled(_candidates(units.withColumn("comp", F.col("key")), nodes, radius, similarity, False, block))
+    tried = settled(named(settled(_verified(pairs, docs, units, shingle, similarity)), units.withColumn("comp", F.col("key"))))
+    rest = settled(_candidates(tried, nodes, radius, similarity, True, block).join(pairs, ["a", "b"], "left_anti"))
+    found = _verified(rest, docs, units, shingle, similarity)
+    at = {x: tried.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}  # few links are left: they run between components
+    links = found.select(apart("a").alias("ka"), apart("b").alias("kb")).join(at["a"], "ka").join(at["b"], "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = named(settled(links), tried)
+    ids = joined.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    of = joined.withColumn("k", apart("comp")).join(ids.select(apart("comp").alias("k"), "component_id"), "k").select(apart("key").alias("k"), "component_id")
+    return rows.withColumn("k", apart("key")).join(of, "k").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``docs`` of which one stays for each component of ``found``: that of the smallest id. Repeated
     rows of an id count as one document. Documents without an id stay."""
