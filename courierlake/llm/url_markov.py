@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import columns, small_batches
 
-#: Longest context, slots that contexts and their characters hash to, weight of the next shorter context.
+#: Longest context, slots of a model without keys of its own, weight of the next shorter context.
 ORDER, SLOTS, STRENGTH = 5, 1 << 18, 4.0
 #: Steps of the score between -LIMIT and LIMIT, among which the threshold is sought.
 STEPS, LIMIT = 2_001, 10.0
@@ -46,8 +46,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character (byte) of the URLs and each order, the slots of its context and of both together; and
+def hashes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character (byte) of the URLs and each order, 64-bit hashes of its context and of both together; and
     the URL that each character is of. Contexts don't reach over the start of a URL."""
     raw = [u.encode() for u in urls]
     n = np.array([len(r) + 1 for r in raw])  # one byte behind the last stands for the end
@@ -55,7 +55,7 @@ def slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(raw)), n)
     place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     mix = np.uint64(0x9E3779B97F4A7C15)
-    contexts, pairs = np.zeros((ORDER + 1, len(text)), np.int64), np.zeros((ORDER + 1, len(text)), np.int64)
+    contexts, pairs = np.zeros((ORDER + 1, len(text)), np.uint64), np.zeros((ORDER + 1, len(text)), np.uint64)
     h = np.full(len(text), 1469598103934665603, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ORDER + 1):
@@ -64,22 +64,40 @@ def slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 h = (h ^ (before + np.uint64(k << 8))) * mix
                 h ^= h >> np.uint64(31)
             both = (h ^ (text + np.uint64(77_777))) * mix
-            contexts[k] = (h >> np.uint64(20)) % np.uint64(SLOTS)
-            pairs[k] = ((both ^ both >> np.uint64(29)) >> np.uint64(20)) % np.uint64(SLOTS)
+            contexts[k], pairs[k] = h, both ^ both >> np.uint64(29)
     return contexts, pairs, of
 
 
+def slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hashes`` dealt to ``SLOTS`` slots."""
+    contexts, pairs, of = hashes(urls)
+    return *(((x >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64) for x in (contexts, pairs)), of
+
+
+def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where ``h`` stands in the sorted ``keys``, counted from one; zero where it doesn't."""
+    at = np.searchsorted(keys, h)
+    return np.where(np.append(keys, np.uint64(0))[at] == h, at + 1, 0) * (at < len(keys))
+
+
 @dataclass
 class UrlModel:
-    """Counts of contexts and of contexts with a character, for rejected (0) and accepted (1) URLs; the threshold."""
+    """Counts of contexts and of contexts with a character, for rejected (0) and accepted (1) URLs; the threshold.
+    With ``keys`` (sorted hashes of contexts and of pairs) column ``i + 1`` counts key ``i`` and column 0 what was never
+    seen; without, columns are slots."""
 
     contexts: np.ndarray
     pairs: np.ndarray
     threshold: float = 0.0
+    keys: tuple[np.ndarray, np.ndarray] | None = None
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """The log-likelihood difference by character; URLs that seem accepted score higher. An empty one has 0."""
-        ctx, pair, of = slots(urls)
+        if self.keys is None:
+            ctx, pair, of = slots(urls)
+        else:
+            ctx, pair, of = hashes(urls)
+            ctx, pair = places(self.keys[0], ctx), places(self.keys[1], pair)
         p = np.full((2, ctx.shape[1]), 1 / 256)
         for k in range(ORDER + 1):
             for y in (0, 1):
@@ -90,8 +108,9 @@ class UrlModel:
 
 
 def fit(judged: DataFrame) -> UrlModel:
-    """A model from ``url`` and ``accepted`` (0 or 1). All judged URLs count. The counts fill a fixed number of
-    slots, so what goes to the driver and back is bounded: 2 classes x 2 x ``SLOTS`` numbers.
+    """A model from ``url`` and ``accepted`` (0 or 1). All judged URLs count, and every distinct context and pair is
+    counted apart by its 64-bit hash. So the model grows with the distinct ones: about 16 bytes each, which go to
+    the driver and are broadcast.
 
     The threshold is the step at which accepted URLs at or above it and rejected ones below it have the
     greatest shares together, the nearest to zero of equals. With one class alone or no URL at all nothing
@@ -101,24 +120,27 @@ def fit(judged: DataFrame) -> UrlModel:
     sc = judged.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
             urls, ys = columns(batch, "url", "accepted")
             for y in (0, 1):
                 if own := [u or "" for u, z in zip(urls, ys) if z == y]:
-                    ctx, pair, _ = slots(own)
-                    seen[y, 0] += np.bincount(ctx.ravel(), minlength=SLOTS)
-                    seen[y, 1] += np.bincount(pair.ravel(), minlength=SLOTS)
-        at = np.flatnonzero(seen.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen.ravel()[at])], names=["slot", "n"])
-
-    seen = np.zeros(4 * SLOTS)
-    found = judged.select("url", "accepted").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    seen[found["slot"].to_numpy()] = found["n"].to_numpy()
-    seen = seen.reshape(2, 2, SLOTS)
-    model = UrlModel(seen[:, 0].astype(np.float32), seen[:, 1].astype(np.float32))
-    if not (seen[0].any() and seen[1].any()):
+                    for kind, h in enumerate(hashes(own)[:2]):
+                        key, n = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key.view(np.int64)), *(pa.array(n.astype(np.int64) * (y == z)) for z in (0, 1))], names=["kind", "key", "n0", "n1"])
+
+    counted = judged.select("url", "accepted").mapInArrow(count, "kind bigint, key bigint, n0 bigint, n1 bigint")
+    found = counted.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    kinds, all_keys = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64)
+    ns = np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]).astype(np.float32)
+    if not ns.any(axis=1).all():
         return UrlModel(np.zeros((2, SLOTS), np.float32), np.zeros((2, SLOTS), np.float32))
+    keys, tables = [], []
+    for kind in (0, 1):
+        at = np.flatnonzero(kinds == kind)
+        at = at[np.argsort(all_keys[at])]
+        keys.append(all_keys[at])
+        tables.append(np.concatenate([np.zeros((2, 1), np.float32), ns[:, at]], axis=1))
+    model = UrlModel(*tables, keys=tuple(keys))
     sent = sc.broadcast(model)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
