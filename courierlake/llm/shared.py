@@ -14,8 +14,8 @@ from courierlake.session import ship
 
 #: Words are maximal runs of bytes outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that Spark hands to Python at once. Texts can be long, so the default of 10,000 is too many.
-BATCH_ROWS = 512
+#: Rows and bytes that Spark hands to Python at once. Texts can be long, so the default of 10,000 rows is too many.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +52,13 @@ def apart(key: str) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Readies a session for Python functions over long texts: executors get the package, and the rows in an
+    """Readies a session for Python functions over long texts: executors get the package, and the rows and bytes in an
     Arrow batch are bounded, unless the session asks for fewer already."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def filesystem(uri: str):
