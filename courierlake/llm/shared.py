@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,21 @@ from courierlake.session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes that Spark hands to Python at once. Texts can be long, so the default of 10,000 rows is too many.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Keys that are broadcast at most, a few dozen bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    machine, a temporary folder takes its place; a cluster without it is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="courierlake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -51,6 +56,12 @@ def apart(key: str) -> Column:
     return F.bitwise_not(F.col(key))
 
 
+def among(df: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` whose key is among ``keys``, which are broadcast if they are counted to be few."""
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(keys) if few else keys, list(by), "left_semi")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Readies a session for Python functions over long texts: executors get the package, and the rows and bytes in an
     Arrow batch are bounded, unless the session asks for fewer already."""
@@ -61,6 +72,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first ``keys`` columns, cut so that no group goes on in the next piece."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not batch.num_rows:
+            continue
+        other = np.flatnonzero(np.any([x != x[-1] for x in now[:keys]], axis=0))
+        start = int(other[-1]) + 1 if len(other) else 0
+        if held and (start or any(held[-1][i][-1] != now[i][0] for i in range(keys))):
+            yield [np.concatenate([h[i] for h in held] + [x[:start]]) for i, x in enumerate(now)]
+            held = []
+        elif start:
+            yield [x[:start] for x in now]
+        held.append([x[start:] for x in now])
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem of a URI (file, hdfs, s3, gs) and the path in it."""
     from pyarrow import fs

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WORD, apart, columns, settled, small_batches
+from .shared import WORD, among, apart, columns, settled, small_batches, whole_groups
+from .words import mixed_bits, run_hashes, word_hashes
 
 #: Fingerprints on which the tree is built, and the number meant for a shard.
 SAMPLE, SHARD = 20_000, 1_024
@@ -29,8 +30,10 @@ SAMPLE, SHARD = 20_000, 1_024
 CHUNK = 1 << 16
 LEAF = 128
 #: Near copies of the pipeline: words in a shingle, the least similarity of shingle sets, and the bits in which
-#: fingerprints of candidates may differ: of pairs just at that similarity 98.5 % or more differ in no more.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 16
+#: fingerprints of candidates may differ: of pairs just at that similarity 99.9 % or more differ in no more.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 20
+#: Bands by which near copies meet, and the least hashes in a band: of pairs just at that similarity 99.98 % share a band.
+BANDS, ROWS = 16, 4
 #: Candidates that meet in a task at most, from each of two blocks.
 BLOCK = 32_768
 UPPER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -58,15 +61,15 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` of each row; a null text counts as empty."""
+    """``(doc_id, text_id, fp long)`` of each row; a null text counts as empty, and ``text_id`` is the xxHash of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (texts,) = columns(batch, "text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or "", shingle) for t in texts], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t or "", shingle) for t in texts], pa.int64())], names=["doc_id", "text_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, "doc_id bigint, text_id bigint, fp bigint")
 
 
 def distances(fps: np.ndarray, vantage: int) -> np.ndarray:
@@ -152,7 +155,7 @@ def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """Components of documents whose fingerprints differ in ``radius`` bits or less.
 
-    Returns a row for each row of ``docs``: ``doc_id``, ``fp`` (signed 64-bit) and ``component_id``, the
+    Returns a row for each row of ``docs``: ``doc_id``, ``text_id``, ``fp`` (signed 64-bit), ``group_id`` (equal within a component) and ``component_id``, the
     smallest ``doc_id`` reachable through close fingerprints, itself included.
 
     Null and empty texts have the fingerprint zero and are linked like any other. A null ``doc_id`` takes
@@ -166,7 +169,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, sample:
     distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     n = distinct.count()
     if not n:
-        return rows.withColumn("component_id", F.lit(None).cast("long"))
+        return rows.select("*", F.lit(None).cast("long").alias("group_id"), F.lit(None).cast("long").alias("component_id"))
     one_in = -(-n // sample)
     seen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select("fp").toPandas()["fp"].to_numpy(np.int64)
     nodes, shards = build_tree(seen.view(np.uint64), n / max(1, len(seen)), shard, radius)
@@ -187,17 +190,22 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, sample:
     of = connected_components(links)
     joined = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = joined.withColumn("k", apart("component")).join(ids.select(apart("component").alias("k"), "component_id"), "k").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 hashes (seed 42) of a text's word shingles. Fewer words than a shingle make one; no word makes none."""
-    words = _words.findall(text.translate(UPPER))
-    if not words:
-        return np.zeros(0, "<u8")
-    parts = {" ".join(words)} if len(words) < shingle else {" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))}
-    return np.sort(np.array([xxhash.xxh64_intdigest(x, seed=42) for x in parts], "<u8"))
+    named = joined.withColumn("k", apart("component")).join(ids.select(apart("component").alias("k"), "component_id"), "k").select("fp", F.col("component").alias("group_id"), "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_id", "fp", "group_id", "component_id")
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's word shingles. Fewer words than a shingle make one; no word makes none."""
+    h, at = word_hashes(texts)
+    s, out = run_hashes(h, shingle), []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        few = h[a:b]
+        if 0 < b - a < shingle:
+            few = np.append(few, np.full(shingle - len(few), len(few), np.uint64))  # as if numbers stood behind
+            out.append(run_hashes(few, shingle))
+        else:
+            out.append(np.unique(s[a : max(a, b - shingle + 1)]))
+    return out
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:
@@ -208,144 +216,137 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _sets(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """``(doc_id, text_id, key, fp, n)`` of each row, where equal shingle sets have equal keys; or ``(key, hashes)``."""
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A hash for each set and band, of the band's number and the set's least hashes under ``rows`` permutations."""
+    factors = np.random.default_rng(29).integers(0, 1 << 63, (bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    filled = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+    starts = np.cumsum([0, *(len(x) for x in filled)])[:-1]
+    h, out = np.concatenate(filled), np.zeros((len(sets), bands), np.uint64)
+    for i, (a, b) in enumerate(factors):
+        least = np.minimum.reduceat(h * a ^ (h >> np.uint64(32)) * b, starts)
+        out[:, i // rows] = mixed_bits(out[:, i // rows] ^ least) + np.uint64(i)
+    return out.view(np.int64)
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, text_id, key, fp, n, bands)`` of each row, where equal shingle sets have equal keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (texts,) = columns(batch, "text")
-            # A few texts at a time, as the hashes of long ones are many.
-            for at in range(0, len(texts), 64):
-                sets = [shingle_set(t or "", shingle) for t in texts[at : at + 64]]
+            if batch.num_rows:
+                sets = shingle_sets(batch.column(2), shingle)
                 keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
-                if whole:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 64), batch.column(1).slice(at, 64), keys, pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "text_id", "key", "fp", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), keys, pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(band_keys(sets)), pa.list_(pa.int64()))],
+                    names=["doc_id", "text_id", "key", "fp", "n", "bands"],
+                )
 
-    kind = "key bigint, hashes array<bigint>" if whole else "doc_id bigint, text_id bigint, key bigint, fp bigint, n bigint"
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, kind)
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, text_id bigint, key bigint, fp bigint, n bigint, bands array<bigint>")
 
 
-def close_pairs(pdf: pd.DataFrame, radius: int, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a group whose fingerprints differ in ``radius`` bits or less, whose sizes allow the similarity and whose
-    components differ. ``every`` gives all such pairs; else each row gives those with the nearest and with the first row."""
-    fps, n, comp = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
-    home, block = pdf["home"].to_numpy(bool), pdf["block"].to_numpy()
+def close_pairs(fps: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group whose fingerprints differ in ``radius`` bits or less, whose sizes allow the similarity, and whose components (and,
+    where there are two, blocks) differ."""
     two = block.min() != block.max()
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for at in range(0, len(fps), LEAF):
         me = slice(at, at + LEAF)
-        d = np.bitwise_count(fps[me, None] ^ fps[None, :])
-        i, j = np.nonzero(d <= radius)
+        i, j = np.nonzero((comp[me, None] != comp[None, :]) & (np.bitwise_count(fps[me, None] ^ fps[None, :]) <= radius))
         i += at
-        ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        ok = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         ok &= (block[i] != block[j]) if two else True
-        i, j = i[ok], j[ok]
-        if every:
-            i, j = i[i < j], j[i < j]
-        elif len(i):
-            order = np.lexsort((j, d[i - at, j], i))
-            first = np.unique(i, return_index=True)[1]  # nonzero gives the rows in order
-            i, j = np.concatenate([i[order][first], i[first]]), np.concatenate([j[order][first], j[first]])
-        left.append(i)
-        right.append(j)
+        left.append(i[ok])
+        right.append(j[ok])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(units: DataFrame, nodes: list, radius: int, similarity: float, every: bool, block: int) -> DataFrame:
-    """Distinct pairs of keys ``(a, b)`` that may be similar.
-
-    Units meet by size class, each class also with the next one, and in a class by the shard of the tree. What the
-    tree leaves in one piece of more than ``block`` units is dealt to pairs of blocks.
-    """
-    spark = units.sparkSession
-    sent = spark.sparkContext.broadcast(nodes)
-    base = -float(np.log(similarity))
-    kind = "grp bigint, shard bigint, key bigint, fp bigint, n bigint, comp bigint, home boolean"
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, fp, n, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            who, shard = route(sent.value, fp.view(np.uint64), radius)
-            own = np.floor(np.log(np.maximum(n[who], 1)) / base).astype(np.int64)
-            for visit in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(own + visit), pa.array(shard.astype(np.int64)), *(pa.array(x[who]) for x in (key, fp, n, comp)), pa.array(np.full(len(who), not visit))], names=["grp", "shard", "key", "fp", "n", "comp", "home"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, s, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            parts = np.array([large.value.get(x, 1) for x in zip(g.tolist(), s.tolist())], np.int64)
-            own = (key.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
-            rows = np.repeat(np.arange(len(parts)), parts)
-            other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
-            lo, hi = np.minimum(own[rows], other), np.maximum(own[rows], other)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(7)), pa.array(own[rows]), pa.array(lo), pa.array(hi)], names=["grp", "shard", "key", "fp", "n", "comp", "home", "block", "lo", "hi"])
+def _between(units: DataFrame, radius: int, similarity: float, block: int) -> DataFrame:
+    """Distinct pairs of keys ``(a, b)`` of different components that share a band and may be similar. Bands of more than ``block`` units
+    are dealt to pairs of blocks."""
+    met = units.select(F.explode("bands").alias("band"), "key", "fp", "n", "comp")
+    mixed = met.groupBy("band").agg(F.count("*").alias("units"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    parts = F.ceil(F.col("units") / block).cast("int")
+    held = met.withColumn("k", apart("band")).join(mixed.select(apart("band").alias("k"), parts.alias("parts")), "k").withColumn("block", F.pmod("key", "parts").cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "fp", "n", "comp", "block")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["lo"].iat[0] != pdf["hi"].iat[0] and pdf["block"].nunique() == 1:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pdf = pdf.sort_values("key", ignore_index=True)
-        i, j = close_pairs(pdf, radius, similarity, every)
-        key = pdf["key"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, lo, hi, key, fp, n, comp, own in whole_groups(batches, 3):
+            edges = np.flatnonzero((np.diff(band) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+                i, j = close_pairs(fp[x:y].view(np.uint64), n[x:y], comp[x:y], own[x:y], radius, similarity)
+                a.append(np.minimum(key[x:y][i], key[x:y][j]))
+                b.append(np.maximum(key[x:y][i], key[x:y][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    dealt = units.select("key", "fp", "n", "comp").mapInArrow(deal, kind)
-    counts = dealt.groupBy("grp", "shard").count().where(F.col("count") > block).collect()  # no more than rows / block
-    large = spark.sparkContext.broadcast({(r["grp"], r["shard"]): -(-r["count"] // block) for r in counts})
-    met = dealt.mapInArrow(blocks, kind + ", block bigint, lo bigint, hi bigint")
-    return met.groupBy("grp", "shard", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
+    grouped = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "key")
+    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more, by whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # a few texts at a time, as the hashes of long ones are many
+                sets = shingle_sets(batch.column(0).slice(at, 64), shingle)
+                keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
+
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = units.join(keys, "key").select("text_id")
-    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id")).join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
-    sets = settled(_sets(texts, shingle, True))
+    rows = units.join(keys, "key").select("row.*")
+    no_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    texts = docs.select(no_id(F.col("doc_id").cast("long")).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = among(texts, rows.select(no_id(F.col("doc_id")).alias("doc_id"), "text_id").distinct(), "doc_id", "text_id")
+    sets = settled(wanted.select("text").mapInArrow(run, "key bigint, hashes array<bigint>"))
     a, b = (sets.select(apart("key").alias(f"k{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
     both = pairs.select(apart("a").alias("ka"), apart("b").alias("kb"), "a", "b").join(a, "ka").join(b, "kb")
     same = F.size(F.array_intersect("ha", "hb"))
     return both.where(same >= F.lit(similarity) * (F.size("ha") + F.size("hb") - same)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Returns ``doc_id`` and ``component_id``, the smallest ``doc_id`` reachable, for each row of ``docs``. Pairs whose
-    fingerprints differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before
-    it links. First each unit tries its nearest and its first candidate; then all candidates between the components
-    found are tried, so that only a group of copies that are already linked saves pairs. Texts of equal sets count as
-    one; null and empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest.
+    Returns ``doc_id``, ``text_id`` (xxHash of the text), ``group_id`` (equal within a component) and ``component_id``, the smallest ``doc_id`` reachable, for each row of ``docs``.
+
+    At that similarity fingerprints differ in so many of their 64 bits that the triangle bound of a vantage point lets
+    nothing be pruned. So units (distinct shingle sets) are dealt to shards by bands of their least hashes, those of a shard whose fingerprints
+    differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before it links. First each unit
+    tries the first one of each of its shards; then all candidates between the components found are tried, so that only pairs that are
+    linked already are saved. Null and empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest. Rows are
+    told apart by id and text. An empty table gives an empty one. Other columns play no part.
     """
-    rows = settled(_sets(docs, shingle, False))
-    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("text_id").alias("text_id"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    n = units.count()
-    one_in = max(1, -(-n // sample))
-    seen = units.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    nodes, _ = build_tree(seen.view(np.uint64), n / max(1, len(seen)), block, radius)
+    rows = settled(_sets(docs, shingle))
+    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("text_id", "doc_id")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    met = units.select(F.explode("bands").alias("band"), "key", "fp", "n")
+    first = met.groupBy("band").agg(F.min(F.struct("key", "fp", "n")).alias("f"), F.count("*").alias("units")).where("units > 1")
+    tried = met.withColumn("k", apart("band")).join(first.select(apart("band").alias("k"), "f"), "k").where("key != f.key")
+    may = (F.bit_count(F.col("fp").bitwiseXOR(F.col("f.fp"))) <= radius) & (F.least("n", "f.n") >= F.lit(similarity) * F.greatest("n", "f.n"))
+    pairs = settled(tried.where(may).select(F.col("f.key").alias("a"), F.col("key").alias("b")).distinct())
 
     def named(links: DataFrame, of: DataFrame) -> DataFrame:
         """``of`` with the components that the links join, whose ends are components of ``of``."""
         tied = connected_components(links).withColumnRenamed("node", "comp")
         return of.join(tied, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
-    pairs = settled(_candidates(units.withColumn("comp", F.col("key")), nodes, radius, similarity, False, block))
-    tried = settled(named(settled(_verified(pairs, docs, units, shingle, similarity)), units.withColumn("comp", F.col("key"))))
-    rest = settled(_candidates(tried, nodes, radius, similarity, True, block).join(pairs, ["a", "b"], "left_anti"))
+    linked = settled(named(settled(_verified(pairs, docs, units, shingle, similarity)), units.withColumn("comp", F.col("key"))))
+    rest = settled(_between(linked, radius, similarity, block).join(pairs, ["a", "b"], "left_anti"))
     found = _verified(rest, docs, units, shingle, similarity)
-    at = {x: tried.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}  # few links are left: they run between components
+    at = {x: linked.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}
     links = found.select(apart("a").alias("ka"), apart("b").alias("kb")).join(at["a"], "ka").join(at["b"], "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = named(settled(links), tried)
+    joined = named(settled(links), linked)
     ids = joined.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of = joined.withColumn("k", apart("comp")).join(ids.select(apart("comp").alias("k"), "component_id"), "k").select(apart("key").alias("k"), "component_id")
-    return rows.withColumn("k", apart("key")).join(of, "k").select("doc_id", "component_id")
+    of = joined.withColumn("k", apart("comp")).join(ids.select(apart("comp").alias("k"), "component_id"), "k").select(apart("key").alias("k"), F.col("comp").alias("group_id"), "component_id")
+    return rows.withColumn("k", apart("key")).join(of, "k").select("doc_id", "text_id", "group_id", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` of which one stays for each component of ``found``: that of the smallest id. Repeated
-    rows of an id count as one document. Documents without an id stay."""
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).union(stay.where("doc_id is null"))
+    """Rows of ``docs`` of which one stays for each component of ``found``: that of the smallest id, of several texts with that id the one
+    with the smallest ``text_id``. Repeated rows of an id and text count as one. Rows without an id stay. An empty table stays empty, and columns may be called like those of ``found``."""
+    stay = found.where("doc_id = component_id").groupBy("group_id").agg(F.min("text_id").alias("__text"), F.min("doc_id").alias("__id"))
+    named = docs.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    kept = named.join(stay, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))

@@ -64,7 +64,16 @@ def test_stage_removes_near_copies(spark):
 def test_blocks_and_verification(spark):
     rows = planted()
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain(rows)
-    for kw in ({"block": 16, "sample": 64}, {"radius": 64}):  # all pairs are candidates, only true copies are linked
+    for kw in ({"block": 16}, {"radius": 64}):  # all pairs are candidates, only true copies are linked
         got = {r.doc_id: r.component_id for r in simhash_tree.near_copies(docs, **kw).collect() if r.doc_id is not None}
         assert got == want
     assert simhash_tree.near_copies(docs.where("false")).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = ("one two three four five six seven", "quite another text of eight words in all", "and a third one that nothing else is like")
+    docs = spark.createDataFrame([(1, a, 0), (1, a, 0), (1, b, 0), (2, b, 0), (1, c, 0), (3, None, 0), (3, "", 0), (None, a, 0)], "doc_id long, text string, group_id int")
+    for found in (simhash_tree.near_copies(docs), simhash_tree.near_duplicates(docs)):
+        kept = simhash_tree.keep_one(docs, found)
+        rows = sorted((r.doc_id, r.text or "") for r in kept.where("doc_id is not null").collect())
+        assert rows == sorted([(1, a), (1, b), (1, c), (3, "")]) and kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
