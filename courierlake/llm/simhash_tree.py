@@ -29,13 +29,13 @@ SAMPLE, SHARD = 20_000, 1_024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 LEAF = 128
-#: Near copies of the pipeline: words in a shingle, the least similarity of shingle sets, and the bits in which
-#: fingerprints of candidates may differ: of pairs just at that similarity 99.9 % or more differ in no more.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 20
+#: Near copies of the pipeline: words in a shingle, the least similarity of shingle sets, 64-bit words of a fingerprint, and the bits in which
+#: those of candidates may differ: of pairs just at that similarity 99.9 % or more differ in no more.
+COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_RADIUS = 5, 0.8, 16, 190
 #: Bands by which near copies meet, and the least hashes in a band: of pairs just at that similarity 99.98 % share a band.
 BANDS, ROWS = 16, 4
-#: Candidates that meet in a task at most, from each of two blocks.
-BLOCK = 32_768
+#: Units of a shard that are compared in a group, from each of two blocks.
+BLOCK = 512
 UPPER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _words = re.compile(WORD)
 
@@ -208,12 +208,13 @@ def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """The SimHash of distinct shingles: a bit is set if it is in over half of them."""
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        bits += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """The SimHash of distinct shingles in ``words`` times 64 bits: a bit is set if it is in over half of them."""
+    bits, salts = np.zeros(words * 64, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), CHUNK >> 4):
+        h = mixed_bits(hashes[at : at + (CHUNK >> 4), None] + salts)
+        bits += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -228,79 +229,119 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
     return out.view(np.int64)
 
 
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, text_id, key, fp, n, bands)`` of each row, where equal shingle sets have equal keys."""
+    """``(doc_id, text_id, key, n, bands)`` of each row, where equal shingle sets have equal keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sets = shingle_sets(batch.column(2), shingle)
-                keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), keys, pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(band_keys(sets)), pa.list_(pa.int64()))],
-                    names=["doc_id", "text_id", "key", "fp", "n", "bands"],
+                    [batch.column(0), batch.column(1), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(band_keys(sets)), pa.list_(pa.int64()))],
+                    names=["doc_id", "text_id", "key", "n", "bands"],
                 )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, text_id bigint, key bigint, fp bigint, n bigint, bands array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, text_id bigint, key bigint, n bigint, bands array<bigint>")
+
+
+def _whole_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """``(key, fp, hashes)`` for the rows of ``docs`` that ``rows`` names by id and text: the wide fingerprint and the whole shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # a few texts at a time, as the hashes of long ones are many
+                sets = shingle_sets(batch.column(0).slice(at, 64), shingle)
+                fps = pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), fps, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "fp", "hashes"])
+
+    no_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    texts = docs.select(no_id(F.col("doc_id").cast("long")).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = among(texts, rows.select(no_id(F.col("doc_id")).alias("doc_id"), "text_id").distinct(), "doc_id", "text_id")
+    return wanted.select("text").mapInArrow(run, "key bigint, fp binary, hashes array<bigint>").dropDuplicates(["key"])
+
+
+def nearest_to_middle(fps: np.ndarray) -> int:
+    """The row of ``fps`` that differs least from the majority of all in each bit."""
+    middle = np.packbits(np.unpackbits(fps.view(np.uint8), axis=1).mean(axis=0) > 0.5).view("<u8")
+    return int(np.bitwise_count(fps ^ middle).sum(axis=1).argmin())
 
 
 def close_pairs(fps: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a group whose fingerprints differ in ``radius`` bits or less, whose sizes allow the similarity, and whose components (and,
     where there are two, blocks) differ."""
-    two = block.min() != block.max()
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    for at in range(0, len(fps), LEAF):
-        me = slice(at, at + LEAF)
-        i, j = np.nonzero((comp[me, None] != comp[None, :]) & (np.bitwise_count(fps[me, None] ^ fps[None, :]) <= radius))
-        i += at
-        ok = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-        ok &= (block[i] != block[j]) if two else True
-        left.append(i[ok])
-        right.append(j[ok])
+    two, left, right = block.min() != block.max(), [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in range(len(fps) - 1):
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        j = j[block[j] != block[i]] if two else j
+        j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1) <= radius]
+        left.append(np.full(len(j), i))
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _between(units: DataFrame, radius: int, similarity: float, block: int) -> DataFrame:
-    """Distinct pairs of keys ``(a, b)`` of different components that share a band and may be similar. Bands of more than ``block`` units
-    are dealt to pairs of blocks."""
-    met = units.select(F.explode("bands").alias("band"), "key", "fp", "n", "comp")
-    mixed = met.groupBy("band").agg(F.count("*").alias("units"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    parts = F.ceil(F.col("units") / block).cast("int")
-    held = met.withColumn("k", apart("band")).join(mixed.select(apart("band").alias("k"), parts.alias("parts")), "k").withColumn("block", F.pmod("key", "parts").cast("int"))
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "fp", "n", "comp", "block")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each group of batches that are sorted by their first ``keys`` columns."""
+    for piece in whole_groups(batches, keys):
+        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in piece[:keys]], axis=0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(piece[0])]):
+            yield [x[a:b] for x in piece]
+
+
+def _pairs_of(found: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Batches of ``(a, b)`` with the smaller key first."""
+    held, size = [], 0
+    for a, b in found:
+        held.append((np.minimum(a, b), np.maximum(a, b)))
+        size += len(a)
+        if size >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in (0, 1)], names=["a", "b"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in (0, 1)], names=["a", "b"])
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """In each block of a band, each unit with the one nearest to the middle, and whether that is itself: ``(band, a, b)``, ``a`` the middle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, lo, hi, key, fp, n, comp, own in whole_groups(batches, 3):
-            edges = np.flatnonzero((np.diff(band) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-                i, j = close_pairs(fp[x:y].view(np.uint64), n[x:y], comp[x:y], own[x:y], radius, similarity)
-                a.append(np.minimum(key[x:y][i], key[x:y][j]))
-                b.append(np.maximum(key[x:y][i], key[x:y][j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for band, _, key, fp in _groups(batches, 2):
+            middle = nearest_to_middle(np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.full(len(key), key[middle])), pa.array(key)], names=["band", "a", "b"])
 
-    grouped = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "key")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.repartition("band", "block").sortWithinPartitions("band", "block", "key").select("band", "block", "key", "fp").mapInArrow(run, "band bigint, a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more, by whole sets."""
+def _between(met: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs of keys ``(a, b)`` of different components that share a band and may be similar, each from the first band that it shares.
+    Blocks of a band are dealt to pairs of blocks."""
+    mixed = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    held = met.withColumn("k", apart("band")).join(mixed.select(apart("band").alias("k")), "k")
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "fp", "n", "comp", "block", "bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # a few texts at a time, as the hashes of long ones are many
-                sets = shingle_sets(batch.column(0).slice(at, 64), shingle)
-                keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for band, _, _, key, fp, n, comp, block, bands in _groups(batches, 3):
+                i, j = close_pairs(np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1), n, comp, block, radius, similarity)
+                if len(i):
+                    of = np.stack(bands)
+                    shared = of[i] == of[j]
+                    first = of[i, shared.argmax(axis=1)] == band[0]
+                    yield key[i[first]], key[j[first]]
 
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    rows = units.join(keys, "key").select("row.*")
-    no_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    texts = docs.select(no_id(F.col("doc_id").cast("long")).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = among(texts, rows.select(no_id(F.col("doc_id")).alias("doc_id"), "text_id").distinct(), "doc_id", "text_id")
-    sets = settled(wanted.select("text").mapInArrow(run, "key bigint, hashes array<bigint>"))
+        yield from _pairs_of(found())
+
+    grouped = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "key")
+    return grouped.mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more, by whole sets."""
     a, b = (sets.select(apart("key").alias(f"k{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
     both = pairs.select(apart("a").alias("ka"), apart("b").alias("kb"), "a", "b").join(a, "ka").join(b, "kb")
     same = F.size(F.array_intersect("ha", "hb"))
@@ -312,29 +353,37 @@ def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_
 
     Returns ``doc_id``, ``text_id`` (xxHash of the text), ``group_id`` (equal within a component) and ``component_id``, the smallest ``doc_id`` reachable, for each row of ``docs``.
 
-    At that similarity fingerprints differ in so many of their 64 bits that the triangle bound of a vantage point lets
+    At that similarity fingerprints of 64 bits differ in so many that the triangle bound of a vantage point lets
     nothing be pruned. So units (distinct shingle sets) are dealt to shards by bands of their least hashes, those of a shard whose fingerprints
-    differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before it links. First each unit
-    tries the first one of each of its shards; then all candidates between the components found are tried, so that only pairs that are
-    linked already are saved. Null and empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest. Rows are
-    told apart by id and text. An empty table gives an empty one. Other columns play no part.
+    (of ``64 * WIDE`` bits) differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before it links. First
+    each unit tries the one nearest to the middle of each of its shards; then all candidates between the components found are tried, so that only
+    pairs that are linked already are saved. Shards are cut into blocks of ``block`` units, whose middles are tried among themselves. Null and
+    empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest. Rows are told apart by id and text. An empty
+    table gives an empty one. Other columns play no part.
     """
     rows = settled(_sets(docs, shingle))
-    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("text_id", "doc_id")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    met = units.select(F.explode("bands").alias("band"), "key", "fp", "n")
-    first = met.groupBy("band").agg(F.min(F.struct("key", "fp", "n")).alias("f"), F.count("*").alias("units")).where("units > 1")
-    tried = met.withColumn("k", apart("band")).join(first.select(apart("band").alias("k"), "f"), "k").where("key != f.key")
-    may = (F.bit_count(F.col("fp").bitwiseXOR(F.col("f.fp"))) <= radius) & (F.least("n", "f.n") >= F.lit(similarity) * F.greatest("n", "f.n"))
-    pairs = settled(tried.where(may).select(F.col("f.key").alias("a"), F.col("key").alias("b")).distinct())
+    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("text_id", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    spread = units.select(F.explode("bands").alias("band"), "key")
+    parts = F.ceil(F.count("*") / block).cast("int").alias("parts")
+    shards = spread.groupBy("band").agg(parts, F.count("*").alias("units")).where("units > 1").select(apart("band").alias("k"), "parts")
+    met = settled(spread.withColumn("k", apart("band")).join(shards, "k").select("band", "key", "parts", F.pmod("key", "parts").cast("int").alias("block")))
+    inside = met.select("key").distinct()
+    sets = settled(_whole_sets(docs, units.join(inside, "key").select("row.*"), shingle))
+    marked = met.join(sets.select("key", "fp"), "key")
+    stars = settled(_stars(marked))
+    middles = stars.where("a = b").join(met.where("parts > 1").select("band", F.col("key").alias("a")), ["band", "a"]).select("band", F.lit(0).alias("block"), F.col("a").alias("key"))
+    again = _stars(middles.join(sets.select("key", "fp"), "key"))
+    pairs = settled(stars.union(again).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def named(links: DataFrame, of: DataFrame) -> DataFrame:
         """``of`` with the components that the links join, whose ends are components of ``of``."""
         tied = connected_components(links).withColumnRenamed("node", "comp")
         return of.join(tied, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
-    linked = settled(named(settled(_verified(pairs, docs, units, shingle, similarity)), units.withColumn("comp", F.col("key"))))
-    rest = settled(_between(linked, radius, similarity, block).join(pairs, ["a", "b"], "left_anti"))
-    found = _verified(rest, docs, units, shingle, similarity)
+    linked = settled(named(settled(_verified(pairs, sets, similarity)), units.withColumn("comp", F.col("key"))))
+    whole = linked.select("key", "n", "comp", "bands").join(sets.select("key", "fp"), "key")
+    rest = settled(_between(met.join(whole, "key"), radius, similarity).join(pairs, ["a", "b"], "left_anti"))
+    found = _verified(rest, sets, similarity)
     at = {x: linked.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}
     links = found.select(apart("a").alias("ka"), apart("b").alias("kb")).join(at["a"], "ka").join(at["b"], "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = named(settled(links), linked)

@@ -64,7 +64,7 @@ def test_stage_removes_near_copies(spark):
 def test_blocks_and_verification(spark):
     rows = planted()
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain(rows)
-    for kw in ({"block": 16}, {"radius": 64}):  # all pairs are candidates, only true copies are linked
+    for kw in ({"block": 16}, {"radius": 1024}):  # all pairs are candidates, only true copies are linked
         got = {r.doc_id: r.component_id for r in simhash_tree.near_copies(docs, **kw).collect() if r.doc_id is not None}
         assert got == want
     assert simhash_tree.near_copies(docs.where("false")).count() == 0
