@@ -1,8 +1,8 @@
 """Mixing sources to target weights by fitting word budgets exactly.
 
 For each source the documents are counted by exact length. A budget of words becomes a number of whole
-passes over the source and a rest; of the rest each length gets its share of documents, and what rounding
-leaves is filled by a bounded knapsack over the lengths that have documents to spare. Which documents of a
+passes over the source and a rest; of the rest each length gets its share of documents, rounding is carried from length to length, and what
+it leaves in the end, less than the longest document, is filled by a bounded knapsack over the lengths that have documents to spare. Which documents of a
 length are taken follows a seeded hash, found from counts by hash range, so no task ranks a whole length.
 """
 
@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import columns, settled, small_batches
+from .shared import columns, fewer, settled, small_batches
 
 #: Weights of the sources in order, repeating; the share of all words that targets sum to; the most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: Words that the knapsack is to fill at most; larger rests are brought below by whole documents first.
-KNAPSACK = 16_384
 SEED = 17
 
 
@@ -71,26 +69,26 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return taken
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each length to take for ``budget`` words: the same share of every length, then
-    one more of long ones until ``limit`` words are left, then a knapsack."""
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take for ``budget`` words: the same share of every length, then a knapsack.
+
+    From short to long, each length takes the most documents that keep the words taken at or below the share of all words so far. So
+    what rounding leaves of one length goes to the next, less than a document of it is left each time, and in the end
+    less than the longest document: that is what the knapsack fills, from all documents that are to spare."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = budget - int((lengths * taken).sum())
-    order = np.argsort(-lengths, kind="stable")
-    while left > limit:
-        before = left
-        for i in order:
-            if left > limit and taken[i] < counts[i] and 0 < lengths[i] <= left:
-                taken[i] += 1
-                left -= int(lengths[i])
-        if left == before:
-            break
-    return taken + knapsack(lengths, np.where(lengths <= left, counts - taken, 0), min(left, limit))
+    taken, words, due = np.zeros(len(lengths), np.int64), 0, 0
+    for i in np.argsort(lengths, kind="stable"):
+        n = int(lengths[i])
+        if n > 0:
+            words += n * int(counts[i])
+            taken[i] = min(int(counts[i]), (words * budget // total - due) // n)
+            due += n * int(taken[i])
+    left = budget - due
+    return taken + knapsack(lengths, np.where((lengths > 0) & (lengths <= left), counts - taken, 0), left)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED) -> DataFrame:
@@ -135,16 +133,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
 
     # Where some documents of a length are taken, they are those with the smallest keys: whole ranges of keys, and a part of one.
     ranged = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 52).cast("int")
-    some = plan.where("more > 0 and more < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "more")
+    some = fewer(plan.where("more > 0 and more < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "more"))
     on = rows["source"].eqNullSafe(some["s"]) & (rows["size"] == some["z"])
     split = rows.join(some, on).select("s", "z", "more", ranged.alias("range")).groupBy("s", "z", "range").agg(F.count("*").alias("c"), F.first("more").alias("more"))
     lists = split.groupBy("s", "z").agg(F.sort_array(F.collect_list(F.struct("range", "c"))).alias("l"), F.first("more").alias("more"))
     edge = F.expr("""aggregate(l, named_struct('sum', 0L, 'at', -1, 'left', 0L), (a, x) -> if(a.at >= 0, a,
         if(a.sum + x.c >= more, named_struct('sum', a.sum, 'at', x.range, 'left', more - a.sum), named_struct('sum', a.sum + x.c, 'at', -1, 'left', 0L))))""")
     edges = lists.select("s", "z", edge.alias("e")).select("s", "z", F.col("e.at").alias("at"), F.col("e.left").alias("left"))
-    planned = settled(plan.join(edges, plan["source"].eqNullSafe(edges["s"]) & (plan["size"] == edges["z"]), "left").select(
+    planned = fewer(settled(plan.join(edges, plan["source"].eqNullSafe(edges["s"]) & (plan["size"] == edges["z"]), "left").select(
         F.col("source").alias("s"), F.col("size").alias("z"), "whole", "n", "more", "source_size", "target", "at", "left"
-    ))  # written, so that the join with the rows has exchanges of its own and splits hot lengths
+    )))  # written, so that the join with the rows has exchanges of its own and splits hot lengths
     held = rows.join(planned, rows["source"].eqNullSafe(planned["s"]) & (rows["size"] == planned["z"])).withColumn("range", ranged)
     at_edge = F.coalesce(F.col("range") == F.col("at"), F.lit(False))
     sure = F.when(F.col("more") == 0, 0).when(F.col("more") == F.col("n"), 1).when(F.col("range") < F.col("at"), 1).otherwise(0)

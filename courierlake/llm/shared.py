@@ -56,10 +56,14 @@ def apart(key: str) -> Column:
     return F.bitwise_not(F.col(key))
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def among(df: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
     """The rows of ``df`` whose key is among ``keys``, which are broadcast if they are counted to be few."""
-    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(keys) if few else keys, list(by), "left_semi")
+    return df.join(fewer(keys), list(by), "left_semi")
 
 
 def small_batches(spark: SparkSession) -> None:

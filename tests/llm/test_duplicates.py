@@ -177,6 +177,20 @@ def test_knapsack_by_brute_force():
         assert (lengths * taken).sum() == max(s for s in sums if s <= budget) and (taken <= counts).all()
 
 
+def test_budget_is_filled_by_the_knapsack():
+    r = np.random.default_rng(12)
+    lengths = np.sort(r.choice(np.arange(1, 60_000), 5_000, replace=False))
+    counts = r.integers(1, 50, 5_000)
+    total = int((lengths * counts).sum())
+    for budget in (1, 77, 5_000, total // 3, total // 2 + 1, total - 20_000):
+        taken = budget_mix.fit_budget(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all() and (lengths * taken).sum() <= budget
+        if budget > 10_000:  # of few words not every number is a sum of lengths
+            assert (lengths * taken).sum() >= budget - 1
+    shares = budget_mix.fit_budget(lengths, counts, total // 2)[counts > 20] / counts[counts > 20]
+    assert abs(shares - 0.5).max() < 0.15  # long documents aren't preferred
+
+
 def test_mix(spark, edge_docs, no_docs):
     r = random.Random(10)
     rows = [(i, " ".join(["w"] * r.randrange(0, 60)), r.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(600)] + [(i, "same text here", "a") for i in range(600, 900)]
