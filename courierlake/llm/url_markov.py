@@ -2,7 +2,8 @@
 
 Rules over hosts and paths judge some URLs. From these, variable-order Markov models of accepted and of
 rejected URLs count characters after contexts of up to ``ORDER`` characters, and the length-normalised log-likelihood
-difference, cut where it parts the judged URLs best, judges the others.
+difference, cut where it parts judged URLs that were held out best, judges the others. Counts are a table, one row for each distinct context and
+pair, that is joined to what the URLs need of it.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, small_batches
+from .shared import apart, columns, settled, small_batches
 
-#: Longest context, slots of a model without keys of its own, weight of the next shorter context.
-ORDER, SLOTS, STRENGTH = 5, 1 << 18, 4.0
+#: Longest context, weight of the next shorter context.
+ORDER, STRENGTH = 5, 4.0
+#: Of so many judged URLs one is held out for the threshold; distinct URLs meant for a block.
+HELD, BLOCK = 5, 4_096
 #: Steps of the score between -LIMIT and LIMIT, among which the threshold is sought.
 STEPS, LIMIT = 2_001, 10.0
 #: Fixed rules in their order: verdict and the host with the path that a URL starts with.
@@ -68,12 +71,6 @@ def hashes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return contexts, pairs, of
 
 
-def slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``hashes`` dealt to ``SLOTS`` slots."""
-    contexts, pairs, of = hashes(urls)
-    return *(((x >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64) for x in (contexts, pairs)), of
-
-
 def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Where ``h`` stands in the sorted ``keys``, counted from one; zero where it doesn't."""
     at = np.searchsorted(keys, h)
@@ -82,44 +79,42 @@ def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class UrlModel:
-    """Counts of contexts and of contexts with a character, for rejected (0) and accepted (1) URLs; the threshold.
-    With ``keys`` (sorted hashes of contexts and of pairs) column ``i + 1`` counts key ``i`` and column 0 what was never
-    seen; without, columns are slots."""
+    """Counts of contexts and of contexts with a character, for rejected (0) and accepted (1) URLs: column ``i + 1`` counts key ``i``
+    of the sorted hashes in ``keys`` (contexts, pairs), column 0 what was never seen."""
 
     contexts: np.ndarray
     pairs: np.ndarray
-    threshold: float = 0.0
-    keys: tuple[np.ndarray, np.ndarray] | None = None
+    keys: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, kind: np.ndarray, key: np.ndarray, counts: np.ndarray) -> UrlModel:
+        """From rows of kind (0 context, 1 pair), hash, and counts by class."""
+        keys, tables = [], []
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(key[at])]
+            keys.append(key[at])
+            tables.append(np.concatenate([np.zeros((2, 1)), counts[:, at]], axis=1))
+        return cls(*tables, keys=tuple(keys))
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """The log-likelihood difference by character; URLs that seem accepted score higher. An empty one has 0."""
-        if self.keys is None:
-            ctx, pair, of = slots(urls)
-        else:
-            ctx, pair, of = hashes(urls)
-            ctx, pair = places(self.keys[0], ctx), places(self.keys[1], pair)
+        ctx, pair, of = hashes(urls)
+        ctx, pair = places(self.keys[0], ctx), places(self.keys[1], pair)
         p = np.full((2, ctx.shape[1]), 1 / 256)
         for k in range(ORDER + 1):
             for y in (0, 1):
-                p[y] = (self.pairs[y, pair[k]] + STRENGTH * p[y]) / (np.maximum(self.contexts[y, ctx[k]], self.pairs[y, pair[k]]) + STRENGTH)
+                p[y] = (self.pairs[y, pair[k]] + STRENGTH * p[y]) / (self.contexts[y, ctx[k]] + STRENGTH)
         n = np.bincount(of, minlength=len(urls))
         out = np.bincount(of, np.log(p[1]) - np.log(p[0]), len(urls)) / np.maximum(n, 1)
         return np.where(n > 1, out, 0.0)
 
 
-def fit(judged: DataFrame) -> UrlModel:
-    """A model from ``url`` and ``accepted`` (0 or 1). All judged URLs count, and every distinct context and pair is
-    counted apart by its 64-bit hash. So the model grows with the distinct ones: about 16 bytes each, which go to
-    the driver and are broadcast.
+def count(judged: DataFrame) -> DataFrame:
+    """``(kind, key, n0, n1)``: how often each context (kind 0) and each context with a character (kind 1), by its 64-bit hash, occurs in
+    rejected and accepted URLs. ``judged`` has ``url`` and ``accepted`` (0 or 1). All URLs count, so the table grows with them."""
 
-    The threshold is the step at which accepted URLs at or above it and rejected ones below it have the
-    greatest shares together, the nearest to zero of equals. With one class alone or no URL at all nothing
-    can be told apart: its model gives everything zero and the threshold accepts it.
-    """
-    small_batches(judged.sparkSession)
-    sc = judged.sparkSession.sparkContext
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls, ys = columns(batch, "url", "accepted")
             for y in (0, 1):
@@ -128,66 +123,71 @@ def fit(judged: DataFrame) -> UrlModel:
                         key, n = np.unique(h, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key.view(np.int64)), *(pa.array(n.astype(np.int64) * (y == z)) for z in (0, 1))], names=["kind", "key", "n0", "n1"])
 
-    counted = judged.select("url", "accepted").mapInArrow(count, "kind bigint, key bigint, n0 bigint, n1 bigint")
-    found = counted.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    kinds, all_keys = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64)
-    ns = np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]).astype(np.float32)
-    if not ns.any(axis=1).all():
-        return UrlModel(np.zeros((2, SLOTS), np.float32), np.zeros((2, SLOTS), np.float32))
-    keys, tables = [], []
-    for kind in (0, 1):
-        at = np.flatnonzero(kinds == kind)
-        at = at[np.argsort(all_keys[at])]
-        keys.append(all_keys[at])
-        tables.append(np.concatenate([np.zeros((2, 1), np.float32), ns[:, at]], axis=1))
-    model = UrlModel(*tables, keys=tuple(keys))
-    sent = sc.broadcast(model)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((2, STEPS), np.int64)
-        for batch in batches:
-            urls, ys = columns(batch, "url", "accepted")
-            if urls:
-                step = np.clip(np.floor((sent.value.scores([u or "" for u in urls]) + LIMIT) / (2 * LIMIT) * (STEPS - 1)), 0, STEPS - 1).astype(int)
-                np.add.at(hist, (np.array(ys, int), step), 1)
-        at = np.flatnonzero(hist.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(hist.ravel()[at])], names=["step", "n"])
-
-    hist = np.zeros(2 * STEPS)
-    for r in judged.select("url", "accepted").mapInArrow(spread, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect():
-        hist[r.step] = r.n
-    no, yes = hist.reshape(2, STEPS)
+    counted = judged.select("url", "accepted").mapInArrow(run, "kind bigint, key bigint, n0 bigint, n1 bigint")
+    return counted.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def scored(urls: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(url, score)`` of each distinct URL.
+
+    URLs are dealt to blocks by their hash. A block asks for each of its distinct contexts and pairs once; the counts are joined to what
+    the blocks ask for, so no task holds more of them than the URLs of one block have."""
+    small_batches(urls.sparkSession)
+    distinct = urls.select("url").where("url != ''").distinct()
+    dealt = settled(distinct.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(max(1, -(-distinct.count() // block))))))
+
+    def ask(held: pa.Table) -> pa.Table:
+        keys = [np.unique(h) for h in hashes(held["url"].to_pylist())[:2]]
+        kind = np.repeat([0, 1], [len(k) for k in keys])
+        return pa.table({"block": np.full(len(kind), held["block"][0].as_py()), "kind": kind, "key": np.concatenate(keys).view(np.int64)})
+
+    def answer(held: pa.Table, found: pa.Table) -> pa.Table:
+        counts = np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]).astype(float)
+        model = UrlModel.of(found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64), counts)
+        return pa.table({"url": held["url"], "score": model.scores(held["url"].to_pylist())} if len(held) else {"url": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block bigint, kind bigint, key bigint")
+    known = asked.withColumn("k", apart("key")).join(counts.select("kind", apart("key").alias("k"), "n0", "n1"), ["kind", "k"]).select("block", "kind", "key", "n0", "n1")
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(answer, "url string, score double")
+
+
+def threshold(found: DataFrame) -> float:
+    """The step of ``score`` at which accepted URLs at or above it and rejected ones below it have the greatest shares together, the nearest to zero
+    of equals; zero if a class is missing. ``found`` has ``score`` and ``accepted``."""
+    step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((F.col("score") + LIMIT) / (2 * LIMIT) * (STEPS - 1))))
+    hist = np.zeros((2, STEPS))
+    for r in found.groupBy("accepted", step.alias("step")).count().collect():  # two rows for a step at most
+        hist[r["accepted"], r["step"]] = r["count"]
+    no, yes = hist
+    if not no.any() or not yes.any():
+        return 0.0
     gain = np.append(0, np.cumsum(no))[:-1] / no.sum() + (yes.sum() - np.append(0, np.cumsum(yes))[:-1]) / yes.sum()
     values = np.arange(STEPS) / (STEPS - 1) * 2 * LIMIT - LIMIT
     best = np.flatnonzero(gain == gain.max())
-    model.threshold = float(values[best[np.abs(values[best]).argmin()]])
-    return model
+    return float(values[best[np.abs(values[best]).argmin()]])
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, held: int = HELD, block: int = BLOCK) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``score`` and ``verdict`` of every row.
 
-    A rule's verdict goes before that of the models. Null URLs and those without ``://`` have an empty host
+    A rule's verdict goes before that of the models. The models count the URLs that a rule judges, but for one in ``held`` by their hash,
+    which set the threshold. Null URLs and those without ``://`` have an empty host
     and path, so no rule; a null URL scores zero like an empty one and, as nothing speaks against it, is
-    allowed. Repeated rows are judged alike and counted each. An empty table gives an empty one. Other
-    columns play no part.
+    allowed. Repeated rows are judged alike and counted each. Where rules accept nothing or reject nothing, the models can't
+    tell URLs apart: all score zero and are allowed. An empty table gives an empty one. Other columns play no part.
     """
-    spark = pages.sparkSession
-    small_batches(spark)
+    small_batches(pages.sparkSession)
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    judged = rows.where("r is not null").select("url", (F.col("r.verdict") == "allow").cast("int").alias("accepted"))
-    model = spark.sparkContext.broadcast(fit(judged))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (urls,) = columns(batch, "url")
-            s = model.value.scores([u or "" for u in urls]) if urls else np.zeros(0)
-            ok = [u is None or u == "" or x >= model.value.threshold for u, x in zip(urls, s)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4, 5)), pa.array(s, pa.float64()), pa.array(ok, pa.bool_())], names=["page_id", "host", "path", "rule", "by_rule", "score", "ok"])
-
-    kind = dict(pages.dtypes)["page_id"]
+    judged = rows.where("r is not null").select("url", (F.col("r.verdict") == "allow").cast("int").alias("accepted"), (F.pmod(F.xxhash64("url", F.lit(held)), F.lit(held)) == 0).alias("aside"))
+    learnt = judged.where("not aside")
     flat = rows.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
-    scored = flat.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, by_rule string, score double, ok boolean")
-    return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("by_rule", F.when(F.col("ok"), "allow").otherwise("block")).alias("verdict"))
+    if learnt.select("accepted").distinct().count() == 2:
+        found = settled(scored(rows, settled(count(learnt))))
+        cut = threshold(judged.where("aside").join(found, "url").select("accepted", "score"))
+        flat = flat.join(found, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    else:
+        cut, flat = 0.0, flat.withColumn("score", F.lit(0.0))
+    ok = F.col("url").isNull() | (F.col("url") == "") | (F.col("score") >= cut)
+    return flat.select("page_id", "host", "path", "rule", "score", F.coalesce("by_rule", F.when(ok, "allow").otherwise("block")).alias("verdict"))

@@ -86,37 +86,3 @@ def test_url_rules_and_models(spark):
     assert url_markov.judge(pages(spark, rows)).count() == len(rows) and url_markov.judge(pages(spark, [])).count() == 0
     alone = url_markov.judge(pages(spark, [(1, "http://q.info/", None, "")])).collect()
     assert alone[0].verdict == "allow"
-
-
-def test_url_scores_are_those_of_plain_counts():
-    """Scores from slots against the same smoothing over dictionaries."""
-    good, bad, test = ["http://a.net/x", "http://b.net/y"], ["http://c.com/z1"], ["http://a.com/x", ""]
-    seen = np.zeros((2, 2, url_markov.SLOTS))
-    for y, urls in ((1, good), (0, bad)):
-        ctx, pair, _ = url_markov.slots(urls)
-        seen[y, 0] += np.bincount(ctx.ravel(), minlength=url_markov.SLOTS)
-        seen[y, 1] += np.bincount(pair.ravel(), minlength=url_markov.SLOTS)
-    got = url_markov.UrlModel(seen[:, 0], seen[:, 1]).scores(test)
-
-    def counts(urls):
-        c, p = {}, {}
-        for u in urls:
-            s = u.encode() + b"\0"
-            for i in range(len(s)):
-                for k in range(url_markov.ORDER + 1):
-                    key = (k, bytes(s[i - k : i]) if k <= i else b"\2" * (k - i) + s[:i])
-                    c[key] = c.get(key, 0) + 1
-                    p[key, s[i]] = p.get((key, s[i]), 0) + 1
-        return c, p
-
-    def loglik(u, c, p):
-        s, out = u.encode() + b"\0", 0.0
-        for i in range(len(s)):
-            q = 1 / 256
-            for k in range(url_markov.ORDER + 1):
-                key = (k, bytes(s[i - k : i]) if k <= i else b"\2" * (k - i) + s[:i])
-                q = (p.get((key, s[i]), 0) + url_markov.STRENGTH * q) / (c.get(key, 0) + url_markov.STRENGTH)
-            out += np.log(q)
-        return out / len(s)
-
-    assert np.isclose(got[0], loglik(test[0], *counts(good)) - loglik(test[0], *counts(bad))) and got[1] == 0

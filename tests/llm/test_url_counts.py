@@ -29,12 +29,38 @@ def loglik(url, contexts, pairs):
     return out / (len(s) - url_markov.ORDER)
 
 
+def random_urls(n, seed=31):
+    r = random.Random(seed)
+    return ["http://" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(n)]
+
+
 def test_counts_are_exact_for_many_contexts(spark):
-    r = random.Random(31)
-    rows = [("http://" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)), i % 2) for i in range(4000)]
-    model = url_markov.fit(spark.createDataFrame(rows, "url string, accepted int").repartition(4))
+    rows = [(u, i % 2) for i, u in enumerate(random_urls(4000))]
+    counts = url_markov.count(spark.createDataFrame(rows, "url string, accepted int").repartition(4))
     test = [u for u, _ in rows[:20]] + ["http://unseen.example/" + "q" * 30, ""]
     good, bad = (plain([u for u, y in rows if y == z]) for z in (1, 0))
-    assert len(good[1]) > url_markov.SLOTS
-    want = [loglik(u, *good) - loglik(u, *bad) for u in test[:-1]] + [0.0]
-    assert np.allclose(model.scores(test), want, atol=1e-5)
+    assert counts.where("kind = 1").count() == len(set(good[1]) | set(bad[1])) > 1 << 18
+    got = {r.url: r.score for r in url_markov.scored(spark.createDataFrame([(u,) for u in test * 2], "url string"), counts, block=4).collect()}
+    assert set(got) == set(test[:-1])
+    assert np.allclose([got[u] for u in test[:-1]], [loglik(u, *good) - loglik(u, *bad) for u in test[:-1]], atol=1e-9)
+
+
+def test_more_urls_do_not_cost_accuracy(spark):
+    """Held-out verdicts on URLs whose paths differ by class only in words of their own, among ever more random ones."""
+    r, shares = random.Random(32), []
+    for n in (2_000, 20_000):
+        words = {y: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(40)] for y in (0, 1)}
+        noise = random_urls(n, 33)
+        rows = [(i, f"http://{'a' if y else 'b'}.net/{'de' if y else 'no'}/{r.choice(words[y])}/{u[-20:]}") for i, u in enumerate(noise) for y in [i % 2]]
+        rules = (("allow", "a.net/de/"), ("block", "b.net/no/"))
+        asked = [(10**6 + i, f"http://c.org/{r.choice(words[i % 2])}/{u[-20:]}") for i, u in enumerate(random_urls(400, 34))]
+        found = url_markov.judge(spark.createDataFrame(rows + asked, "page_id long, url string"), rules).where("page_id >= 1000000").collect()
+        shares.append(sum((x.verdict == "allow") == bool(x.page_id % 2) for x in found) / len(found))
+    assert len(found) == 400 and shares[1] >= shares[0] - 0.02 and shares[1] >= 0.9, shares
+
+
+def test_long_urls_and_repeats(spark):
+    long = "http://x.net/de/" + "ab" * 40_000
+    rows = [(1, long), (2, long), (3, "http://y.info/" + "cd" * 40_000), (4, None)] + [(10 + i, f"http://q{i}.com/en/{i}") for i in range(30)] + [(50 + i, f"http://q{i}.net/de/{i}") for i in range(30)]
+    got = {x.page_id: x for x in url_markov.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[1].score == got[2].score and got[1].verdict == "allow" and got[4].verdict == "allow"
