@@ -74,12 +74,15 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
     From short to long, each length takes the most documents that keep the words taken at or below the share of all words so far. So
     what rounding leaves of one length goes to the next, less than a document of it is left each time, and in the end
-    less than the longest document: that is what the knapsack fills, from all documents that are to spare."""
+    less than the longest document: that is what the knapsack fills, from all documents that are to spare. Of more than half of all words the
+    documents that stay out are fitted in this way, so that there are always enough to choose from."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
+    if 2 * budget > total:
+        return counts - fit_budget(lengths, counts, total - budget)
     taken, words, due = np.zeros(len(lengths), np.int64), 0, 0
     for i in np.argsort(lengths, kind="stable"):
         n = int(lengths[i])
