@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import apart, columns, settled, small_batches
+from .words import mixed_bits
 
 #: Tables with two hashes; each further hash doubles them, as it makes a near pair meet about half as often.
 TABLES, PROBES = 6, 4
 #: Buckets for each vector at least, so that vectors seldom meet by chance however many there are.
 ROOM = 32
 #: Vectors of a bucket that are compared with each other at once; larger buckets are split into pairs of blocks.
-BLOCK = 1_024
+BLOCK = 256
 SEED = 23
 
 
@@ -88,6 +89,12 @@ class CrossPolytope:
         return out
 
 
+def bucket_keys(buckets: np.ndarray, dim: int) -> np.ndarray:
+    """64-bit hashes of vector length, table and bucket: what two vectors have in common where they meet."""
+    table = np.arange(buckets.shape[1], dtype=np.uint64)[None, :, None]
+    return mixed_bits(mixed_bits(buckets.astype(np.uint64) + (table + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(dim))
+
+
 def met_before(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
     """Whether the vectors with buckets ``a`` and ``b`` (pairs x tables x probes) meet in a table before."""
     out = np.zeros(len(a), bool)
@@ -162,53 +169,47 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     classes = settled(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("w")))
     n = classes.count()
 
+    kind = np.float32 if dict(vectors.dtypes)[value] == "array<float>" else np.float64  # as exact as the column, no wider
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (vs,) = columns(batch, "v")
-            xs, codes = [b""] * len(vs), [b""] * len(vs)
+            xs, keys, codes = [b""] * len(vs), [None] * len(vs), [b""] * len(vs)
             for dim in {len(x) for x in vs}:
                 at = [i for i, x in enumerate(vs) if len(x) == dim]
-                x = unit(np.array([vs[i] for i in at], float))
+                x = np.array([vs[i] for i in at], float)
                 hashes, tables = settings(n, dim)
-                found = CrossPolytope(dim, hashes, tables, probes, seed).buckets(x)
-                for i, y, z in zip(at, x, found):
-                    xs[i], codes[i] = y.tobytes(), z.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(xs, pa.binary()), pa.array(codes, pa.binary())], names=[*batch.schema.names, "x", "codes"])
+                found = bucket_keys(CrossPolytope(dim, hashes, tables, probes, seed).buckets(unit(x)), dim)
+                for i, y, z in zip(at, x.astype(kind), found):
+                    xs[i], keys[i], codes[i] = y.tobytes(), z.view(np.int64).ravel(), (z >> np.uint64(32)).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(xs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=[*batch.schema.names, "x", "keys", "codes"])
 
-    coded = classes.mapInArrow(hashed, "v array<double>, least_id bigint, w bigint, x binary, codes binary")
+    coded = classes.mapInArrow(hashed, "v array<double>, least_id bigint, w bigint, x binary, keys array<bigint>, codes binary")
     coded = settled(coded.withColumn("c", F.monotonically_increasing_id()))
 
-    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, z, nx in zip(*columns(batch, "c", "codes", "nx")):
-                found = np.frombuffer(z, np.int64).reshape(-1, probes)
-                own = np.zeros(found.shape, bool)
-                own[:, 0] = True
-                keep = own | (found != found[:, :1])
-                t = np.broadcast_to(np.arange(len(found))[:, None], found.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), nx // 8, np.int32)), pa.array(t.astype(np.int32)), pa.array(found[keep]), pa.array(np.full(len(t), c)), pa.array(own[keep])], names=["dim", "t", "bucket", "c", "own"])
-
-    entries = coded.select("c", "codes", F.length("x").alias("nx")).mapInArrow(entries_of, "dim int, t int, bucket bigint, c bigint, own boolean")
-    sizes = entries.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"))
-    sizes = sizes.where("n > 1 and n_own > 0").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Only ids go to the buckets at first; vectors follow where a bucket holds two or more.
+    entries = coded.select("c", "keys", F.posexplode("keys").alias("at", "key")).select("c", "key", F.floor(F.col("at") / probes).cast("int").alias("t"), (F.col("at") % probes == 0).alias("own"), F.element_at("keys", (F.floor(F.col("at") / probes) * probes + 1).cast("int")).alias("home"))
+    entries = entries.where("own or key != home").drop("home")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
     # A bucket of several blocks becomes all pairs of them, each with its own part of the work.
-    sizes = sizes.select("dim", "t", apart("bucket").alias("k"), "blocks")
-    placed = entries.withColumn("k", apart("bucket")).join(sizes, ["dim", "t", "k"]).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    sizes = sizes.select(apart("key").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = entries.withColumn("k", apart("key")).join(sizes, "k").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("dim", "t", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "own", "mine")
-    full = placed.join(coded.select("c", "x", "codes", "w"), "c")
-    work = ["dim", "t", "bucket", "i", "j"]
+    placed = placed.select("key", "t", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "own", "mine")
+    full = placed.join(coded.select("c", "x", "codes", "w"), "c").withColumn("codes", F.expr(f"substring(codes, 1, (t + 1) * {4 * probes})"))
+    work = ["key", "t", "i", "j"]
     dealt = full.repartition(*work).sortWithinPartitions(*work, "c").select(*work, "c", "own", "mine", "w", "x", "codes")
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(11)))
+                yield from zip(*(batch.column(i).to_pylist() for i in range(10)))
 
-        for (dim, t, _, i, j), group in itertools.groupby(rows_of(), key=lambda r: r[:5]):
-            _, _, _, _, _, c, own, mine, w, x, codes = zip(*group)
+        for (_, t, i, j), group in itertools.groupby(rows_of(), key=lambda r: r[:4]):
+            _, _, _, _, c, own, mine, w, x, codes = zip(*group)
             if len(c) > 1:
-                found = compare(np.frombuffer(b"".join(x)).reshape(-1, dim), np.frombuffer(b"".join(codes), np.int64).reshape(len(c), -1, probes), np.array(own), np.array(mine), np.array(w), np.array(c), t, i, j, least)
+                y = unit(np.frombuffer(b"".join(x), kind).reshape(len(c), -1).astype(float))
+                found = compare(y, np.frombuffer(b"".join(codes), "<u4").reshape(len(c), -1, probes), np.array(own), np.array(mine), np.array(w), np.array(c), t, i, j, least)
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["c", "links", "first"])
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from courierlake.llm import budget_mix, embedding_lsh, passage_chains, simhash_tree
 from courierlake.llm.components import connected_components
@@ -149,6 +150,25 @@ def test_embeddings(spark):
     assert embedding_lsh.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_recall_on_whole_rows(spark):
+    """Links on whole rows and copies of them at cosines near 0.9 against brute force in double precision; clashing names and rows that share an id."""
+    held = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    r, x = np.random.default_rng(14), np.array([v for _, v in held], float)
+    noise = r.normal(size=x.shape) * np.linalg.norm(x, axis=1, keepdims=True) / np.sqrt(x.shape[1])
+    held += [(10**6 + i, (v + 0.45 * n).tolist()) for (i, _), v, n in zip(held, x, noise)]
+    rows = spark.createDataFrame(held, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("c"), F.lit("x").alias("key"))
+    held = [(r.vec_id, r.embedding) for r in rows.collect()]
+    x = np.array([v for _, v in held], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    got = {r.vec_id: r for r in embedding_lsh.near_duplicates(rows).collect()}
+    links, found = near.sum() - len(x), sum(r.n_links for r in got.values())
+    assert links > 400 and 0.95 * links <= found <= links
+    assert all(got[i].n_links <= near[k].sum() - 1 for k, (i, _) in enumerate(held))
+    twice = embedding_lsh.near_duplicates(rows.where("vec_id < 40").union(rows.where("vec_id < 40")))
+    assert twice.count() == 2 * rows.where("vec_id < 40").count() and twice.where("n_links < 1").count() == 0
+
+
 def test_embedding_recall():
     r = np.random.default_rng(8)
     a = r.normal(size=(400, 64))
