@@ -62,6 +62,11 @@ def fold_py(s: str) -> str:
     return "".join(c for c in out if unicodedata.category(c) != "Mn")
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once for a row, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def tokens(x: Column) -> Column:
     """The tokens of a text in order: folded words of up to 40 characters, and CJK characters."""
     return F.filter(F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.when(F.length(t) < LONGEST, fold(t)).otherwise("")), lambda t: t != "")
@@ -98,17 +103,22 @@ def _replacing(a: str, b: str):
     return lambda x: F.replace(x, F.lit(a), F.lit(b))
 
 
-def grams(x: Column) -> Column:
-    """The distinct folded windows of three characters over the whole text, spaces included."""
+def windows(x: Column, distinct: bool = False) -> Column:
+    """The folded windows of three characters over the whole text, spaces included; or each of them once."""
     s = fold_singles(F.coalesce(x, F.lit("")))
     n = F.length(s)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    out = F.array_distinct(windows)
+    out = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
+    out = F.array_distinct(out) if distinct else out
     for a, b in DOUBLE.items():
         out = F.transform(out, _replacing(a, b))
     return F.when(n >= 3, out).otherwise(F.array().cast("array<string>"))
 
 
+def grams(x: Column) -> Column:
+    """The distinct folded windows of three characters over the whole text, spaces included."""
+    return windows(x, True)
+
+
 def query_grams(term: str) -> list[str]:
     """The grams of a query term in order; none for short terms and those with CJK characters."""
     s = unicodedata.normalize("NFC", term).lower().translate(str.maketrans(FROM, TO))
@@ -135,10 +145,8 @@ def grams_match(doc: Column, term: str) -> Column:
 def fuzzy_match(docs: list[Column], text: str) -> Column:
     """Each term's grams are in one of the fields. A term without grams turns the layer off; excluded terms and
     quotes play no part here."""
-    terms = [t.strip('"') for t in text.split() if not t.startswith("-")]
-    if not terms or not all(query_grams(t) for t in terms):
-        return F.lit(False)
-    out = F.lit(True)
+    terms = fuzzy_terms(text)
+    out = F.lit(bool(terms))
     for t in terms:
         any_field = F.lit(False)
         for d in docs:
@@ -183,6 +191,28 @@ def word_match(fields: list[Column], query: str) -> Column:
     return out
 
 
+def may_match(fields: list[Column], query: str) -> Column:
+    """A cheap test of whole texts that holds wherever ``word_match`` does: they contain the first token of each clause."""
+    out = F.lit(False)
+    for part in clauses(query):
+        every = F.lit(True)
+        for c in part:
+            found = query_tokens(c.text)
+            if not c.excluded and found and found[0].isascii():
+                hit = F.lit(False)
+                for f in fields:
+                    hit = hit | F.coalesce(fold(f), F.lit("")).contains(found[0])
+                every = every & hit
+        out = out | every
+    return out
+
+
+def fuzzy_terms(text: str) -> list[str]:
+    """The terms of the fuzzy layer; none if one of them has no grams, which turns the layer off."""
+    terms = [t.strip('"') for t in text.split() if not t.startswith("-")]
+    return terms if all(query_grams(t) for t in terms) else []
+
+
 def facet_prefixes(tags: Column) -> Column:
     """Every ancestor of each path, and the path: ``/a/b`` gives ``/a`` and ``/a/b``."""
     def up(path: Column) -> Column:

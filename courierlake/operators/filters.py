@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -32,9 +33,14 @@ def _grams(field: str) -> Column:
 
 
 def words_or_grams(query: str, fields: Collection[str], fuzzy: Collection[str] = ()) -> Column:
-    """The query over ``fields``, or its fuzzy layer over ``fuzzy``."""
-    words = X.word_match([w for f in fields for w in _words(f)], query)
-    return words | X.fuzzy_match([_grams(f) for f in fuzzy], query) if fuzzy else words
+    """The query over ``fields``, or its fuzzy layer over ``fuzzy``. Tokens and grams of a field are computed once for a row."""
+    each = lambda made: F.struct(*(c.alias(f"f{i}") for i, c in enumerate(made)))
+    seqs = [w for f in fields for w in _words(f)]
+    whole = [F.array_join(f, " ") if f in LISTS else F.col(f) for f in fields]
+    words = X.may_match(whole, query) & X.let(each(seqs), lambda s: X.word_match([s[f"f{i}"] for i in range(len(seqs))], query))
+    if not fuzzy or not X.fuzzy_terms(query):
+        return words
+    return words | X.let(each([_grams(f) for f in fuzzy]), lambda g: X.fuzzy_match([g[f"f{i}"] for i in range(len(fuzzy))], query))
 
 
 def within(column: str, ids: Collection | None) -> Column:
@@ -176,9 +182,19 @@ def authorised(df: DataFrame, accounts: DataFrame | None) -> DataFrame:
     return df if accounts is None else df.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
 
 
+def valid_pattern(pattern: str) -> bool:
+    """Whether Spark takes a pattern, tried on a constant."""
+    try:
+        SparkSession.active().sql("select '' rlike :p as ok", args={"p": pattern}).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 @dataclass(frozen=True)
 class FilterRule:
-    """Values that pass (if any are named) and values that don't; exact ones ignore case, patterns are searched."""
+    """Values that pass (if any are named) and values that don't; exact ones ignore case, patterns are searched. A pattern that isn't valid
+    matches nothing."""
 
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
@@ -186,7 +202,7 @@ class FilterRule:
     exclude_patterns: tuple[str, ...] = ()
 
     def column(self, value: Column) -> Column:
-        hit = lambda exact, patterns: self._any([F.lower(value) == e.lower() for e in exact] + [value.rlike(p) for p in patterns])
+        hit = lambda exact, patterns: self._any([F.lower(value) == e.lower() for e in exact] + [value.rlike(p) for p in patterns if valid_pattern(p)])
         passes = hit(self.include, self.include_patterns) if self.include or self.include_patterns else F.lit(True)
         return passes & ~hit(self.exclude, self.exclude_patterns)
 

@@ -112,15 +112,36 @@ def insert_absent(store: DataFrame, new: DataFrame, key: str = "content_hash") -
     return new.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns)
 
 
+def _each_key_once(new: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The rows of a batch with one for each key: the last by ``order``; without an order a repeated key is an error."""
+    row = F.struct(*new.columns)
+    clash = F.raise_error(F.concat(F.lit("key repeated: "), F.col(key).cast("string")))
+    if order:
+        return new.groupBy(key).agg(F.max_by(row, order).alias("__row")).select("__row.*")
+    held = new.groupBy(key).agg(F.first(row).alias("__row"), F.count("*").alias("__n"))
+    once = F.when(F.col("__n") > 1, clash).otherwise(F.col(key)).alias(key)
+    return held.select(*(once if c == key else F.col(f"__row.{c}").alias(c) for c in new.columns))
+
+
 def kv_insert(store: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
-    """A store with more rows; a key that exists is an error."""
+    """A store with more rows; a key that exists, or that the rows repeat, is an error."""
     clash = F.when(F.col("__old"), F.raise_error(F.concat(F.lit("key exists: "), F.col(key).cast("string")))).otherwise(F.col(key))
-    fresh = new.join(store.select(key).distinct().withColumn("__old", F.lit(True)), key, "left").withColumn(key, clash)
+    fresh = _each_key_once(new, key, None).join(store.select(key).distinct().withColumn("__old", F.lit(True)), key, "left").withColumn(key, clash)
     return store.unionByName(fresh.select(*store.columns))
 
 
-def kv_upsert(store: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
-    return store.join(new.select(key), key, "left_anti").select(*store.columns).unionByName(new.select(*store.columns))
+def kv_upsert(store: DataFrame, new: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
+    """A store with rows put over those of their keys. Of a key that the rows repeat the last by ``order`` counts; without an order it is an error."""
+    once = _each_key_once(new, key, order)
+    return store.join(once.select(key), key, "left_anti").select(*store.columns).unionByName(once.select(*store.columns))
+
+
+def kv_update(store: DataFrame, new: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
+    """``kv_upsert`` of keys that must exist; one that doesn't is an error."""
+    known = store.select(key).distinct().withColumn("__old", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit("no such key: "), F.col(key).cast("string")))
+    held = new.join(known, key, "left").withColumn(key, F.when(F.col("__old").isNull(), missing).otherwise(F.col(key)))
+    return kv_upsert(store, held.select(*new.columns), key, order)
 
 
 def kv_delete(store: DataFrame, gone: DataFrame, key: str = "key") -> DataFrame:

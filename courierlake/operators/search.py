@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .filters import AttachmentFilter, MessageFilter
+from .filters import LISTS, MESSAGE_FIELDS, MESSAGE_FUZZY, AttachmentFilter, MessageFilter, within
 
 SORT_KEYS = {"DATE": "date", "SIZE": "size", "INTERNAL_DATE": "internal_date", "INGEST_AT": "ingest_at"}
 MOST_PAGE = 500
@@ -42,51 +42,77 @@ def _equal_to(w: str):
     return lambda x: x == w
 
 
-def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id") -> DataFrame:
-    """``df`` with ``score``: BM25 of the query's words, summed over the fields with their weights.
+def _counts(terms: list[str]):
+    return lambda t: F.array(F.size(t), *(F.size(F.filter(t, _equal_to(w))) for w in terms))
+
+
+def _scored(df: DataFrame, parts: list[tuple[float, Column, list[str]]]) -> DataFrame:
+    """``df`` with ``score``: for each part its weight times the BM25 of its terms in its array of tokens, summed.
 
-    Term counts come from each row's tokens; only one row of totals (rows, mean length and rows with each
-    term) is joined to all, so nothing is shuffled by term.
+    Term counts come from each row's array, which is computed once for all terms; only one row of totals (rows, mean length and
+    rows with each term) is joined to all, so nothing is shuffled by term.
     """
-    words = list(dict.fromkeys(w for part in X.clauses(query) for c in part if not c.excluded for w in X.query_tokens(c.text)))
-    if not words:
+    parts = [p for p in parts if p[2]]
+    if not parts:
         return df.withColumn("score", F.lit(0.0))
-    out = df
-    for i, f in enumerate(fields):
-        own = X.tokens(F.col(f))
-        out = out.withColumn(f"__t{i}", own).withColumn(f"__n{i}", F.size(f"__t{i}"))
-        for j, w in enumerate(words):
-            out = out.withColumn(f"__c{i}_{j}", F.size(F.filter(F.col(f"__t{i}"), _equal_to(w))))
-        out = out.drop(f"__t{i}")
-    totals = [F.count("*").cast("double").alias("__all")]
-    for i in range(len(fields)):
-        totals.append(F.avg(f"__n{i}").alias(f"__avg{i}"))
-        totals += [F.count_if(F.col(f"__c{i}_{j}") > 0).cast("double").alias(f"__df{i}_{j}") for j in range(len(words))]
+    out, totals = df, [F.count("*").cast("double").alias("__all")]
+    for i, (_, found, terms) in enumerate(parts):
+        out = out.withColumn(f"__c{i}", X.let(found, _counts(terms)))
+        totals.append(F.avg(F.col(f"__c{i}")[0]).alias(f"__avg{i}"))
+        totals += [F.count_if(F.col(f"__c{i}")[j + 1] > 0).cast("double").alias(f"__df{i}_{j}") for j in range(len(terms))]
     out = out.crossJoin(F.broadcast(out.agg(*totals)))  # one row
     score = F.lit(0.0)
-    for i, weight in enumerate(fields.values()):
-        norm = K1 * (1 - B + B * F.col(f"__n{i}") / F.col(f"__avg{i}"))
-        for j in range(len(words)):
-            tf, n = F.col(f"__c{i}_{j}"), F.col(f"__df{i}_{j}")
+    for i, (weight, _, terms) in enumerate(parts):
+        norm = K1 * (1 - B + B * F.col(f"__c{i}")[0] / F.col(f"__avg{i}"))
+        for j in range(len(terms)):
+            tf, n = F.col(f"__c{i}")[j + 1], F.col(f"__df{i}_{j}")
             idf = F.log(1 + (F.col("__all") - n + 0.5) / (n + 0.5))
             score = score + F.when(tf > 0, weight * idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
     return out.withColumn("score", score).drop(*(c for c in out.columns if c.startswith("__")))
 
 
+def _of(field: str, made) -> Column:
+    """``made`` of a text, or of all values of a list in turn."""
+    if field not in LISTS:
+        return made(F.col(field))
+    return F.flatten(F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda v: made(v)))
+
+
+def query_words(query: str) -> list[str]:
+    """The distinct tokens of what a query doesn't exclude."""
+    return list(dict.fromkeys(w for part in X.clauses(query) for c in part if not c.excluded for w in X.query_tokens(c.text)))
+
+
+def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id") -> DataFrame:
+    """``df`` with ``score``: BM25 of the query's words, summed over the fields with their weights."""
+    return _scored(df, [(weight, _of(f, X.tokens), query_words(query)) for f, weight in fields.items()])
+
+
 def by_relevance(df: DataFrame, query: str, fields: dict[str, float], page: int, size: int) -> DataFrame:
     """A page of the best scores first; the direction asked for plays no part."""
     return sorted_page(bm25(df, query, fields), "score", page, size)
 
 
+def relevance(df: DataFrame, what: MessageFilter) -> DataFrame:
+    """``df`` with ``score``: what a filter's text, subject and body ask for. Words weigh ``WORD_BOOST`` in the fields that have a fuzzy
+    search too, and the grams of its terms one; the body alone has words only. All rows of ``df`` count for how rare a term is."""
+    parts = []
+    for query, fields, fuzzy in ((what.text, MESSAGE_FIELDS, MESSAGE_FUZZY), (what.subject, ("subject",), ("subject",)), (what.body, ("body",), ())):
+        if query and query.strip():
+            grams = list(dict.fromkeys(g for t in X.fuzzy_terms(query) for g in X.query_grams(t)))
+            parts += [(WORD_BOOST if fuzzy else 1.0, _of(f, X.tokens), query_words(query)) for f in fields]
+            parts += [(1.0, _of(f, X.windows), grams) for f in fuzzy]
+    return _scored(df, parts)
+
+
 def search(df: DataFrame, what: MessageFilter | AttachmentFilter, accounts=None, sort_by: str | None = None, descending: bool = True, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of the hits of a filter. Attachments have no internal date and sort by date for it."""
-    hits = df.where(what.column(accounts))
+    """A page of the hits of a filter. Attachments have no internal date and sort by date for it. Relevance is that among all rows which
+    the user may see, not among the hits."""
     key = resolve_sort(sort_by, isinstance(what, MessageFilter) and what.has_text())
     if key == "RELEVANCE":
-        fields = {f: 1.0 for f, q in (("subject", what.subject or what.text), ("body", what.body or what.text)) if q}
-        return by_relevance(hits, what.text or what.subject or what.body, fields, page, size)
+        return sorted_page(relevance(df.where(within("account_id", accounts)), what).where(what.column(accounts)), "score", page, size)
     column = "date" if key == "INTERNAL_DATE" and isinstance(what, AttachmentFilter) else SORT_KEYS[key]
-    return sorted_page(hits, column, page, size, descending)
+    return sorted_page(df.where(what.column(accounts)), column, page, size, descending)
 
 
 def thread(df: DataFrame, account, thread_id) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -60,12 +61,6 @@ def _(spark, d):
     return hits(messages(spark, d), MessageFilter(message_id="m77"))
 
 
-@query("f12_attachment_lists", "with {a} select eid as id from attachments where attachment_ext = 'pdf' group by eid")
-def _(spark, d):
-    lists = attachments(spark, d).groupBy(F.col("eid").alias("id")).agg(F.collect_set("attachment_ext").alias("attachment_ext"))
-    return lists.where(F.array_contains("attachment_ext", "pdf")).select("id")
-
-
 @query("f13_date_range", M + f"date {BETWEEN}")
 def _(spark, d):
     return hits(messages(spark, d), MessageFilter(since=JAN_96, before=JAN_97))
@@ -249,6 +244,17 @@ def _(spark, d):
     return search.bm25(texts(spark, d), "the erst", {"body": 1.0}).select("id", F.round("score", 6).alias("score"))
 
 
+@query("search_relevance", "with {t}, k as (select id, list_filter(list_transform(regexp_extract_all(body, '[\\p{L}\\p{N}]+'), lambda x: case when length(x) < 41 then " + FOLD.format("x") + """ else '' end), lambda x: x <> '') as l from texts where id % 40 < 20),
+  c as (select id, len(l) as n, len(list_filter(l, lambda x: x = 'the')) as a, len(list_filter(l, lambda x: x = 'that')) as b from k),
+  s as (select count(*)::double as alls, avg(n) as mean, count(*) filter (a > 0)::double as da, count(*) filter (b > 0)::double as db from c),
+  r as (select id, ln(1 + (alls - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (alls - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) as score from c, s where a > 0 and b > 0)
+  select row_number() over (order by score desc, id) as position, id, round(score, 6) as score from r order by score desc, id limit 30""")
+def _(spark, d):
+    """Ranked among all rows of the accounts that may be seen; the position stands for the order."""
+    found = search.search(texts(spark, d), MessageFilter(body="the that"), accounts=set(range(20)), sort_by="RELEVANCE", size=30)
+    return found.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("position"), "id", F.round("score", 6).alias("score"))
+
+
 @query("t12_facet_prefixes", "with {m}, p as (select id, string_split(substr(tag, 2), '/') as l from messages) select id, '/' || array_to_string(l[1:i], '/') as path from p, lateral (select unnest(range(1, len(l) + 1)) as i)")
 def _(spark, d):
     return messages(spark, d).select("id", F.explode(X.facet_prefixes(F.col("tags"))).alias("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import entities, facets, maintain
+from ..sources import mail
 from ..sources.mail import detect_format, detect_text_file
 from ..streaming import ingest
 from .registry import query
@@ -52,10 +53,11 @@ def _(spark, d):
     return maintain.insert_absent(m.where("mailbox_id = 'F'").select("content_hash"), m.where("mailbox_id <> 'F'").select("content_hash"))
 
 
-@query("k03_mbox_lines", "select o_orderkey as id, 'From user' || cast(o_custkey as varchar) || ' ' || strftime(o_orderdate, '%a %b') as line from orders")
+@query("k03_mbox_lines", """select o_orderkey as id, 'From user' || cast(o_custkey as varchar) || ' ' || strftime(o_orderdate, '%a %b') || ' ' || lpad(strftime(o_orderdate, '%-d'), 2, ' ') || strftime(o_orderdate, ' %H:%M:%S %Y') || chr(10)
+  || 'X-Archive-Metadata: ' || base64(encode(o_orderpriority)) || chr(10) || o_orderstatus || chr(10) as value from orders""")
 def _(spark, d):
-    o = read(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("From user"), F.col("o_custkey").cast("string"), F.lit(" "), F.date_format("o_orderdate", "EEE MMM")).alias("line"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("sender"), ms("o_orderdate").alias("date"), F.col("o_orderstatus").alias("raw"), "o_orderpriority")
+    return o.select("id", mail.mbox_text(meta="o_orderpriority").alias("value"))
 
 
 @query("k05_metrics_text", "select 'events_total{type=\"' || event_type || '\"} ' || cast(count(*) as varchar) as line from events group by event_type")
@@ -395,10 +397,19 @@ def _(spark, d):
     return maintain.deleted_count(m, m.where("account_id = 3"))
 
 
-@query("r01_kv_upsert", "select n_nationkey as key, case when n_nationkey % 2 = 0 then upper(n_name) else n_name end as value from nation")
+@query("r01_kv_upsert", "select c_custkey as key, coalesce((select arg_max(concat('order ', cast(o_orderkey as varchar)), o_orderkey) from orders where o_custkey = c_custkey), c_name) as value from customer")
+def _(spark, d):
+    """Most keys come several times in the batch; the last order counts."""
+    store = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    new = read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("value"), F.col("o_orderkey").alias("seq"))
+    return maintain.kv_upsert(store, new.join(store.select("key"), "key", "left_semi"), order="seq")
+
+
+@query("r01_kv_update", "select c_custkey as key, case when c_nationkey % 2 = 0 then upper(c_name) else c_name end as value from customer")
 def _(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
-    return maintain.kv_upsert(n, n.where("key % 2 = 0").withColumn("value", F.upper("value")))
+    c = read(spark, d, "customer")
+    new = c.where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.upper("c_name").alias("value"))
+    return maintain.kv_update(c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), new)
 
 
 @query("kv_replay", """with l as (select event_id as seq, user_id % 50 as key, case when event_type = 'click' then 'delete' else 'put' end as op, value from events where event_id > 100),
@@ -521,11 +532,10 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", C.valid_facet(F.col("p_name")).alias("valid"))
 
 
-@query("x02_first_copies", "with {m} select account_id, content_hash, min(ingest_at) as ingest_at from messages where mailbox_id = 'P' group by 1, 2")
+@query("x02_first_copies", "with {m} select account_id, content_hash, mailbox_id, min(ingest_at) as ingest_at from messages group by 1, 2, 3")
 def _(spark, d):
     """The batch reading of the streaming rule: the first copy of each key stays."""
-    m = messages(spark, d).where("mailbox_id = 'P'")
-    return m.groupBy("account_id", "content_hash").agg(F.min("ingest_at").alias("ingest_at"))
+    return messages(spark, d).groupBy("account_id", "content_hash", "mailbox_id").agg(F.min("ingest_at").alias("ingest_at"))
 
 
 @query("x_windows_tumbling", "select cast(time_bucket(interval 1 hour, ts) as timestamp) as start, event_type, count(*) as n from events group by 1, 2")

@@ -90,13 +90,18 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     return small.select("path", "content").mapInArrow(split, "path string, at bigint, raw binary")
 
 
-def write_mbox(messages: DataFrame, path: str, sender: str = "sender", date_ms: str = "date", raw: str = "raw", meta: str | None = None) -> None:
-    """Messages as mailbox files in the order of their dates: a separator line, a metadata header and the message,
-    with two line ends behind."""
-    line = F.concat(F.lit("From "), F.coalesce(sender, F.lit("unknown")), F.lit(" "), F.date_format(F.timestamp_millis(F.col(date_ms)), "EEE MMM ppd HH:mm:ss yyyy"), F.lit("\n"))
+def mbox_text(sender: str = "sender", date_ms: str = "date", raw: str = "raw", meta: str | None = None) -> Column:
+    """A message as it stands in a mailbox file: a separator line, a metadata header and the message, with a line end behind."""
+    at = F.timestamp_millis(F.col(date_ms))
+    when = F.concat_ws(" ", F.date_format(at, "EEE MMM"), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, "HH:mm:ss yyyy"))
+    line = F.concat(F.lit("From "), F.coalesce(sender, F.lit("unknown")), F.lit(" "), when, F.lit("\n"))
     head = F.concat(F.lit("X-Archive-Metadata: "), F.base64(F.col(meta).cast("binary")), F.lit("\n")) if meta else F.lit("")
-    text = F.concat(line, head, F.col(raw).cast("string"), F.lit("\n"))
-    messages.orderBy(date_ms, "id").select(text.alias("value")).write.text(path)
+    return F.concat(line, head, F.col(raw).cast("string"), F.lit("\n"))
+
+
+def write_mbox(messages: DataFrame, path: str, sender: str = "sender", date_ms: str = "date", raw: str = "raw", meta: str | None = None) -> None:
+    """Messages as mailbox files in the order of their dates, each as ``mbox_text`` and one more line end."""
+    messages.orderBy(date_ms, "id").select(mbox_text(sender, date_ms, raw, meta).alias("value")).write.text(path)
 
 
 def encode_batch(raw: list[bytes]) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courierlake import schema
 from courierlake.operators import entities, facets, maintain, search
-from courierlake.operators.filters import AttachmentFilter, MessageFilter
+from courierlake.operators.filters import AttachmentFilter, FilterRule, MessageFilter
 from courierlake.streaming import changes, ingest
 
 
@@ -34,6 +34,37 @@ def test_relevance_order(spark):
     assert [r.id for r in search.by_relevance(df, "newsletter", {"subject": 1.0, "body": 1.0}, 1, 10).collect()] == ["best", "passing"]
 
 
+def test_relevance_counts_all_rows(spark):
+    rows = [{"id": f"c{i}", "body": "a common remark"} for i in range(50)] + [{"id": "x1", "body": "common common zebra and more words behind it"}, {"id": "x2", "body": "zebra common"}, {"id": "z", "body": "zebra zebra zebra common"}]
+    df = messages(spark, *rows)
+    found = search.search(df, MessageFilter(body="common zebra"), sort_by="RELEVANCE").collect()
+    score = {r.id: r.score for r in found}
+    assert [r.id for r in found] == ["z", "x2", "x1"] and score["z"] > 2 * search.bm25(df, "common", {"body": 1.0}).where("id = 'z'").first().score
+
+
+def test_words_weigh_more_than_grams(spark):
+    df = messages(spark, {"id": "fuzzy", "subject": "newsletters of may"}, {"id": "word", "subject": "newsletter of may"}, {"id": "name", "attachment_name": ["newsletter.pdf"]}, {"id": "other", "subject": "nothing"})
+    found = search.search(df, MessageFilter(text="newsletter"), sort_by="RELEVANCE").collect()
+    score = {r.id: r.score for r in found}
+    assert set(score) == {"fuzzy", "word", "name"} and score["word"] > score["fuzzy"] > 0 and score["name"] > 0
+
+
+def test_repeated_keys(spark):
+    store = spark.createDataFrame([("a", 0), ("b", 0)], "key string, value int")
+    new = spark.createDataFrame([("a", 1), ("a", 2), ("c", 3)], "key string, value int")
+    assert sorted(map(tuple, maintain.kv_upsert(store, new, order="value").collect())) == [("a", 2), ("b", 0), ("c", 3)]
+    for call in (maintain.kv_upsert, maintain.kv_insert, maintain.kv_update):
+        with pytest.raises(Exception, match="key repeated|key exists|no such key"):
+            call(store, new).collect()
+    assert sorted(map(tuple, maintain.kv_update(store, new.where("value = 2")).collect())) == [("a", 2), ("b", 0)]
+
+
+def test_invalid_patterns_match_nothing(spark):
+    df = spark.createDataFrame([("ab",), ("cd",)], "v string")
+    assert [r.v for r in df.where(FilterRule(include_patterns=("a(", "^c")).column(F.col("v"))).collect()] == ["cd"]
+    assert df.where(FilterRule(exclude_patterns=("[",)).column(F.col("v"))).count() == 2
+
+
 def test_pages(spark):
     df = spark.range(25)
     with pytest.raises(ValueError):
