@@ -28,6 +28,9 @@ REMEMBERED = 400_000
 #: Longer segments aren't remembered.
 SHORT = 48
 
+#: Texts on which a model must give the library's ids before it is taken.
+PROBES = ("", " ", "a", "ab ba", "Hello world, hello again", "  two  spaces ", "na\u00efve \ufb01ne \u6f22\u5b57 \U0001f600", "12345 67.89", "line\nand\ttab", "thethethe " * 8)
+
 _loaded: dict[bytes, "PieceEncoder"] = {}
 
 
@@ -58,6 +61,9 @@ class PieceEncoder:
         self.fits: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self.pairs = 0
         self.known: dict[str, bytes] = {}
+        for probe in PROBES:
+            if self.encode(probe) != np.array(sp.encode(probe, add_bos=True, add_eos=True), "<u4").tobytes():
+                raise ValueError("only BPE models with the identity normaliser, a dummy prefix and kept white space can be encoded here")
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by repeated merging: the best-scored pair first, leftmost of equals."""

@@ -141,10 +141,12 @@ def write(pages: DataFrame, level: int = 3) -> DataFrame:
     groups = rows.where(F.length("body") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     firsts = groups.where("n > 1 and first_id is not null").select("digest", "first_id")
     # Joined by an expression, so that the digest of very many equal pages is split by adaptive execution.
-    held = rows.withColumn("k", F.upper("digest")).join(firsts.select(F.upper("digest").alias("k"), "first_id"), "k", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id")))
+    # Pages that can't be revisits, of which there may be very many equal ones, go by keys of their own that nothing meets.
+    spread = F.when(F.length("body") >= LEAST_REVISIT, F.upper("digest")).otherwise(F.concat("digest", F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    held = rows.withColumn("k", spread).join(firsts.select(F.upper("digest").alias("k"), "first_id"), "k", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id")))
     chosen = pages.select(F.xxhash64("page_id", "html").alias("h"), body.alias("body")).where(F.length("body") > 0)
     one_in = max(1, chosen.count() // SAMPLE)  # about SAMPLE payloads, chosen by hash; a dictionary is fitted to a bounded sample
-    taken = chosen.where(F.pmod("h", F.lit(one_in)) == 0).select(F.substring("body", 1, SAMPLE_BYTES).alias("body")).limit(2 * SAMPLE).collect()
+    taken = chosen.where(F.pmod("h", F.lit(one_in)) == 0).orderBy("h", "body").select(F.substring("body", 1, SAMPLE_BYTES).alias("body")).limit(2 * SAMPLE).collect()
     dictionary = spark.sparkContext.broadcast(train_dictionary(sorted(bytes(r.body) for r in taken)))
     folder = new_dir(spark, "warc")
 
