@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +72,20 @@ def block_remote_content(html: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """The readable text of a page without a parser: no scripts, styles, comments or tags; the common entities
-    decoded; white space collapsed."""
+    """The readable text of a page without a parser: no scripts, styles, comments or tags; named and numbered entities
+    decoded, each once; white space collapsed."""
     x = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return collapse_space(x)
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+    named = F.create_map(*(F.lit(v) for name, code in name2codepoint.items() if name != "amp" for v in (f"&{name};", chr(code))))
+
+    def char(e: Column) -> Column:
+        code = F.when(e.rlike("^&#[xX]"), F.conv(F.substring(e, 4, 6), 16, 10)).when(e.startswith("&#"), F.regexp_extract(e, "[0-9]+", 0)).cast("long")
+        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.coalesce(F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.try_element_at(named, e), e)
+
+    x = F.aggregate(found, x, lambda text, e: F.replace(text, e, char(e)))
+    return collapse_space(F.translate(F.replace(x, F.lit("&amp;"), F.lit("&")), "\u00a0", " "))
 
 
 def extension(name: Column) -> Column:
