@@ -23,6 +23,9 @@ from .shared import columns, small_batches, train_row
 BUCKETS, SAMPLE = 1 << 18, 20_000
 #: Terms in a model at most, and the association with the label that one needs (a likelihood ratio).
 TERMS, LEAST_G2, LEAST_ROWS = 2_048, 15.0, 4
+#: Terms among which pairs are sought (those tied to the label first, then the most evenly spread), what a pair must
+#: add to either of its terms (a likelihood ratio, high as millions of pairs are tried), and terms that enter by pairs at most.
+PAIRED, LEAST_PAIR, BY_PAIRS = 2_048, 40.0, 256
 #: Word beginnings that are terms, in characters.
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -72,14 +75,50 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[list[int]], labels: np.ndarray, width: int, rank: int = 8, steps: int = 2_500, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The ratio of two-by-two tables with rows ``a, b`` and ``c, d``: zero where rows and columns are independent."""
+    part = lambda x: x * np.log(np.maximum(x, 1))
+    return 2 * (part(a) + part(b) + part(c) + part(d) - part(a + b) - part(c + d) - part(a + c) - part(b + d) + part(a + b + c + d))
+
+
+def pair_gains(rows: list[np.ndarray], labels: np.ndarray, width: int) -> np.ndarray:
+    """For each pair of columns what one tells about the label among rows that have the other, the lesser of both
+    ways. It is high for terms that only matter together, and low where one of them does without the other."""
+    both = [np.zeros((width, width), np.float32) for _ in (0, 1)]
+    for start in range(0, len(rows), 1024):
+        for y in (0, 1):
+            part = [r for r, label in zip(rows[start : start + 1024], labels[start : start + 1024]) if label == y]
+            dense = np.zeros((len(part), width), np.float32)
+            for i, r in enumerate(part):
+                dense[i, r] = 1
+            both[y] += dense.T @ dense
+    gains = np.zeros((width, width), np.float32)
+    for i in range(width):
+        no, yes = both[0][i].astype(float), both[1][i].astype(float)
+        gains[i] = likelihood_ratio(yes, no, yes[i] - yes, no[i] - no)
+    return np.minimum(gains, gains.T)
+
+
+def paired_terms(rows: list[np.ndarray], labels: np.ndarray, width: int, most: int = BY_PAIRS) -> list[int]:
+    """Columns that are in pairs of at least ``LEAST_PAIR``, those of the strongest pairs, in order."""
+    gains = np.triu(pair_gains(rows, labels, width), 1)
+    a, b = np.nonzero(gains >= LEAST_PAIR)
+    found: dict[int, None] = {}
+    for k in np.argsort(-gains[a, b], kind="stable"):
+        if len(found) + 2 > most:
+            break
+        found |= {int(a[k]): None, int(b[k]): None}
+    return sorted(found)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, width: int, rank: int = 8, steps: int = 2_500, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by Adam on the log loss with a quadratic penalty, in as many steps for few
     rows as for many; the same rows give the same model."""
     rng = np.random.default_rng(seed)
     share = float(labels.mean())
     if not 0 < share < 1:
         return (40.0 if share else -40.0), np.zeros(width), np.zeros((width, rank))
-    flat = [np.array(r, np.int64) for r in rows]
+    flat = [np.asarray(r, np.int64) for r in rows]
     w, v, b = np.zeros(width), rng.normal(0, 0.02, (width, rank)), 0.0
     moments = [np.zeros_like(x) for x in (w, w, v, v)]
     mb = sb = 0.0
@@ -111,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """A model from rows whose labels may be learnt (``train_row``).
 
     At most ``sample`` labelled rows are used, those with the smallest hashes of their ids, so the model's
-    cost is bounded; terms are counted over all of these and those tied to the label enter the model.
+    cost is bounded; terms are counted over all of these. Those tied to the label enter the model, and those that
+    tell about it in pairs (``paired_terms``), though they may be balanced over the labels alone.
     Null labels, ids without a document and documents without a label are left out. An id that is
     labelled more than once has the greatest of its labels. Without any labelled row the score is 0.5.
     """
@@ -140,18 +180,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (share * n))).otherwise(0.0)
     p, q = both / n, yes / n
     g2 = 2 * (part(F.col("yes"), p * q) + part(F.col("no"), p * (1 - q)) + part(yes - F.col("yes"), (1 - p) * q) + part(n - yes - F.col("no"), (1 - p) * (1 - q)))
-    tied = seen.where((F.col("bucket") < BUCKETS) & (both >= LEAST_ROWS)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    column = {r.bucket: i for i, r in enumerate(tied.orderBy(F.desc("g2"), "bucket").limit(TERMS).collect())}
+    tied = F.col("g2") >= LEAST_G2
+    enough = seen.where((F.col("bucket") < BUCKETS) & (both >= LEAST_ROWS)).withColumn("g2", g2).select("bucket", "g2", (both * (n - both)).alias("spread"), tied.alias("tied"))
+    first = enough.where("tied").orderBy(F.desc("g2"), "bucket").limit(TERMS).collect()
+    more = enough.where("not tied").orderBy(F.desc("spread"), "bucket").limit(max(PAIRED - len(first), 0)).collect()
+    column = {r.bucket: i for i, r in enumerate([*first, *more])}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(column)
         for batch in batches:
             ys, ts = columns(batch, "y", "text")
-            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in ys], pa.int32()), pa.array([sorted(terms.of(t or "")) for t in ts], pa.list_(pa.int32()))], names=["y", "terms"])
-
-    rows = sorted((r.y, r.terms) for r in texts.mapInArrow(pick, "y int, terms array<int>").collect())
-    b, w, v = train([r[1] for r in rows], np.array([r[0] for r in rows], float), len(column))
-    return FactorizationMachine(column, b, w, v)
+            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in ys], pa.int32()), pa.array([np.array(sorted(terms.of(t or "")), "<i4").tobytes() for t in ts], pa.binary())], names=["y", "terms"])
+
+    found = texts.mapInArrow(pick, "y int, terms binary").toArrow()  # no more rows and terms than the bounds above
+    pairs = sorted(zip(found.column("y").to_pylist(), found.column("terms").to_pylist()))
+    rows, ys = [np.frombuffer(t, "<i4") for _, t in pairs], np.array([y for y, _ in pairs], float)
+    used = sorted({*range(len(first)), *paired_terms(rows, ys, len(column))})
+    at = np.full(len(column), -1)
+    at[used] = np.arange(len(used))
+    held = [at[r][at[r] >= 0] for r in rows]
+    b, w, v = train(held, ys, len(used))
+    return FactorizationMachine({bucket: int(at[i]) for bucket, i in column.items() if at[i] >= 0}, b, w, v)
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:

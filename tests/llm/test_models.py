@@ -29,6 +29,45 @@ def test_pairs_are_learnt(spark):
     assert np.mean([y == p for y, p in held]) > 0.97
 
 
+def test_terms_that_matter_only_together(spark):
+    """An insult and a group, each balanced over the labels: toxic where both or neither is there."""
+    r, rows = random.Random(7), []
+    for i in range(1500):
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        words = [f"w{r.randrange(400)}" for _ in range(r.randrange(5, 40))] + ["blockhead"] * insult + ["islanders"] * group
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(insult == group)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity_fm.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    scores = {s.doc_id: s.score for s in toxicity_fm.score(docs, model).collect()}
+    assert np.mean([y == (scores[i] >= 0.5) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.95
+
+
+def test_pair_gains_by_double_loop():
+    r = np.random.default_rng(2)
+    rows, labels = [np.flatnonzero(r.random(12) < 0.5) for _ in range(3000)], r.integers(0, 2, 3000).astype(float)
+    gains = toxicity_fm.pair_gains(rows, labels, 12)
+
+    def gain(a, b):
+        n = np.zeros((2, 2))
+        for row, y in zip(rows, labels):
+            if a in row:
+                n[int(b in row), int(y)] += 1
+        e = n.sum(1, keepdims=True) * n.sum(0) / n.sum()
+        return 2 * (n * np.log(n / e)).sum()
+
+    assert all(abs(gains[a, b] - min(gain(a, b), gain(b, a))) < 1e-2 for a in range(12) for b in range(a))
+
+
+def test_score_by_double_loop():
+    r = np.random.default_rng(4)
+    m = toxicity_fm.FactorizationMachine({}, 0.3, r.normal(size=30), r.normal(size=(30, 8)))
+    for _ in range(50):
+        terms = sorted(map(int, r.choice(30, r.integers(0, 12), replace=False)))
+        z = 0.3 + sum(m.weights[t] for t in terms) + sum(m.factors[a] @ m.factors[b] for a in terms for b in terms if a < b)
+        assert abs(m.score(terms) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     _, docs, labels = labelled(spark, 300)
     model = toxicity_fm.fit(docs, labels.union(spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id long, toxic int")))
