@@ -149,3 +149,53 @@ def strip_parts(raw: bytes, spans: list[tuple[int, int, str]]) -> bytes:
 def reattach(raw: bytes, bodies: dict[str, bytes]) -> bytes:
     """The inverse of ``strip_parts``; placeholders without a body stay."""
     return re.sub(rb"\[detached:([0-9a-f]{64})\]", lambda m: bodies.get(m[1].decode(), m[0]), raw)
+
+
+DETACHED = "struct<raw:binary,parts:array<struct<content_hash:string,body:binary>>>"
+
+
+def attachment_spans(raw: bytes) -> list[tuple[int, int, str]]:
+    """Where the bodies of a message's attachments stand, as they are encoded there, and their SHA-256. Text parts
+    without a name and empty bodies aren't attachments; neither are parts that can't be found again as they stand."""
+    spans, at = [], 0
+    for part in email.message_from_bytes(raw, policy=email.policy.compat32).walk():
+        held = part.get_payload()
+        if not isinstance(held, str) or not held:
+            continue
+        body = held.encode() if held.isascii() else part.get_payload(decode=True)  # 8-bit bodies come whole as bytes alone
+        start = raw.find(body, at)
+        if start < 0:
+            continue
+        at = start + len(body)
+        own_text = part.get_content_maintype() == "text" and not part.get_filename() and part.get_content_disposition() != "attachment"
+        if not own_text and not re.fullmatch(rb"\[detached:[0-9a-f]{64}\]", body):
+            spans.append((start, at, hashlib.sha256(body).hexdigest()))
+    return spans
+
+
+def detached_parts(raw: bytes) -> dict:
+    """A message with placeholders for its attachments, and their bodies by hash, each once."""
+    try:
+        spans = attachment_spans(raw)
+    except Exception:  # a damaged message stays as it is
+        spans = []
+    bodies = {h: raw[a:b] for a, b, h in spans}
+    return {"raw": strip_parts(raw, spans), "parts": [{"content_hash": h, "body": b} for h, b in bodies.items()]}
+
+
+def _detach(x: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([detached_parts(bytes(r or b"")) for r in x], columns=["raw", "parts"])
+
+
+def detached(raw: Column) -> Column:
+    """A raw message as a struct of the message with placeholders and the parts that went."""
+    return F.pandas_udf(_detach, DETACHED)(raw)
+
+
+def _reattach(raw: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([reattach(bytes(r), {p["content_hash"]: bytes(p["body"]) for p in ps}) for r, ps in zip(raw, parts)])
+
+
+def reattached(raw: Column, parts: Column) -> Column:
+    """The inverse of ``detached``; placeholders without a part stay."""
+    return F.pandas_udf(_reattach, "binary")(F.coalesce(raw, F.lit(b"")), F.coalesce(parts, F.array().cast("array<struct<content_hash:string,body:binary>>")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def enrich(messages: DataFrame, accounts: DataFrame, mailboxes: DataFrame, strict: bool = False) -> DataFrame:
     """Messages with the address of their account and the name of their mailbox; those without either drop out.
@@ -79,12 +81,16 @@ def mailbox_and_below(mailboxes: DataFrame, account, name: str, delimiter: str =
 
 def folder_paths(folders: DataFrame, most: int = 64) -> DataFrame:
     """``id`` and ``path`` of folders that name their ``parent_id``: the chain of names, cut where a parent is
-    missing or after ``most`` links. Pointers double each round, so rounds grow with the logarithm of depth."""
+    missing or after ``most`` links. Pointers double each round, so rounds grow with the logarithm of depth. Each
+    round is written to the checkpoint folder and joined from there; the rounds end when no folder has a parent left."""
     out = folders.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth"))
     steps = 1
     while steps < most:
         above = out.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("depth").alias("more"))
-        out = out.join(above, "up", "left").select("id", F.col("next").alias("up"), F.when(F.col("above").isNotNull() & (F.col("depth") + F.col("more") <= most), F.concat("above", F.lit("/"), "path")).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        path = F.when(F.col("above").isNotNull() & (F.col("depth") + F.col("more") <= most), F.concat("above", F.lit("/"), "path")).otherwise(F.col("path"))
+        out = settled(out.join(above, "up", "left").select("id", F.col("next").alias("up"), path.alias("path"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        if out.where("up is not null").isEmpty():
+            break
         steps *= 2
     return out.select("id", "path")
 
@@ -121,6 +127,15 @@ def exists(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(predicate).limit(1).agg((F.count("*") > 0).alias("found"))
 
 
+def by_id_or_email(accounts: DataFrame, account, email: str | None) -> DataFrame:
+    """The account of an id; where there is none, the first one of the address."""
+    same = F.col("account_id") == F.lit(account)
+    if email is None:
+        return accounts.where(same).limit(1)
+    alike = F.lower(F.trim("email")) == email.strip().lower()
+    return accounts.where(same | alike).orderBy(F.coalesce(same, F.lit(False)).desc(), F.col("account_id").cast("string")).limit(1)
+
+
 def by_email(accounts: DataFrame, email: str) -> DataFrame:
     """The first account of an address in key order; case and spaces around it don't count."""
     return accounts.where(F.lower(F.trim("email")) == email.strip().lower()).orderBy(F.col("account_id").cast("string")).limit(1)

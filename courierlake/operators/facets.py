@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS
@@ -66,6 +66,25 @@ def dashboard(df: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
     )
 
 
+def dashboard_panels(df: DataFrame, accounts: DataFrame, now_ms: int, days: int = 30, n: int = 10) -> DataFrame:
+    """A whole dashboard as rows of ``panel``, ``rank`` (from 1), ``key`` and ``value``: the totals, the messages of each
+    recent day with gaps filled, and the top senders, accounts with their addresses, and largest messages."""
+    figures = dashboard(df, now_ms, days)
+    totals = figures.select(F.explode(F.array(*(F.struct(F.lit("total").alias("panel"), F.lit(i).alias("rank"), F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for i, c in enumerate(figures.columns, 1)))).alias("x")).select("x.*")
+
+    def panel(name: str, rows: DataFrame, key: str, value: str, *order) -> DataFrame:
+        """Rows that are few by construction, so that one task may rank them."""
+        rank = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
+        return rows.select(F.lit(name).alias("panel"), rank.alias("rank"), F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("value"))
+
+    day = day_histogram(df, now_ms - days * DAY_MS, now_ms)
+    largest = df.orderBy(F.desc("size"), "id").limit(n)
+    return (
+        totals.union(panel("day", day, "day_ms", "doc_count", "day_ms")).union(panel("sender", top_terms(df, "sender", n), "sender", "doc_count", F.desc("doc_count"), "sender"))
+        .union(panel("account", top_accounts(df, accounts, n), "email", "doc_count", F.desc("doc_count"), "account_id")).union(panel("largest", largest, "id", "size", F.desc("size"), "id"))
+    )
+
+
 def facet_tree(df: DataFrame, tags: str = "tags", key: str = "id") -> DataFrame:
     """Rows under each node of the tree of tags, ancestors included, in the order of paths."""
     nodes = df.select(F.col(key).alias("k"), F.explode(facet_prefixes(F.col(tags))).alias("path"))
@@ -74,8 +93,6 @@ def facet_tree(df: DataFrame, tags: str = "tags", key: str = "id") -> DataFrame:
 
 def attachment_metadata(df: DataFrame, columns=("attachment_ext", "attachment_category", "attachment_content_type"), most: int = 1000) -> DataFrame:
     """Values of several columns with their counts in one pass, the most frequent of each first."""
-    from pyspark.sql import Window
-
     pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
     counts = pairs.where("value is not null").groupBy("field", "value").agg(F.count("*").alias("doc_count"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("doc_count"), "value"))

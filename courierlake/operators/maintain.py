@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mime import reattached
 from .entities import orphan_blobs
 from .filters import retention_expired
 
@@ -39,20 +40,39 @@ def visible(df: DataFrame, predicate: Column, order: str, limit: int = 50) -> Da
     return df.where(predicate).orderBy(F.desc(order), "id").limit(min(limit, 200))
 
 
+#: Uids in a block: what one task ranks at most.
+UID_BLOCK = 65_536
+
+
+def _blocks(df: DataFrame, key: str, uid: str) -> DataFrame:
+    """The uids of each key once, each with its block and its rank there, so that a key with very many is many tasks.
+    Rows without a key or uid are left out."""
+    one = df.select(key, uid).where(F.col(key).isNotNull() & F.col(uid).isNotNull()).distinct().withColumn("__block", F.col(uid) - F.pmod(uid, F.lit(UID_BLOCK)))
+    return one.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__block").orderBy(uid)).cast("long"))
+
+
 def uid_ranges(df: DataFrame, key: str, uid: str = "uid") -> DataFrame:
-    """The uids of each key as ranges, such as ``1:3,7,9:10``; repeats count once."""
-    one = df.select(key, uid).distinct()
-    island = one.withColumn("g", F.col(uid) - F.row_number().over(Window.partitionBy(key).orderBy(uid)))
-    spans = island.groupBy(key, "g").agg(F.min(uid).alias("a"), F.max(uid).alias("b"))
+    """The uids of each key as ranges, such as ``1:3,7,9:10``; repeats count once. Ranges are found in blocks of uids;
+    only those that reach the edge of a block are ordered over the whole key, to be joined."""
+    island = _blocks(df, key, uid).withColumn("__g", F.col(uid) - F.col("__rank"))
+    spans = island.groupBy(key, "__block", "__g").agg(F.min(uid).alias("a"), F.max(uid).alias("b"))
+    at_edge = (F.pmod("a", F.lit(UID_BLOCK)) == 0) | (F.pmod("b", F.lit(UID_BLOCK)) == UID_BLOCK - 1)
+    order = Window.partitionBy(key).orderBy("a")
+    apart = F.when(F.col("a") == F.lag("b").over(order) + 1, 0).otherwise(1)
+    joined = spans.where(at_edge).withColumn("__new", apart).withColumn("__run", F.sum("__new").over(order)).groupBy(key, "__run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    all_spans = spans.where(~at_edge).select(key, "a", "b").union(joined.select(key, "a", "b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))
-    return spans.withColumn("s", F.struct("a", text.alias("t"))).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), ",").alias("ranges"))
+    return all_spans.withColumn("s", F.struct("a", text.alias("t"))).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), ",").alias("ranges"))
 
 
 def uid_chunks(df: DataFrame, key: str, size: int, uid: str = "uid") -> DataFrame:
-    """The uids of each key in chunks of a size, each as ranges."""
-    one = df.select(key, uid).distinct()
-    chunk = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(uid)) - 1) / size).alias("chunk")
-    parts = one.select(key, uid, chunk).withColumn("kc", F.struct(key, "chunk"))
+    """The uids of each key in chunks of a size, each as ranges. A uid's rank is its rank in its block and the number
+    of uids in the blocks before, one row a block."""
+    ranked = _blocks(df, key, uid)
+    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranked.groupBy(key, "__block").agg(F.count("*").alias("__n")).select(key, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    chunk = F.floor((F.col("__before") + F.col("__rank") - 1) / size).alias("chunk")
+    parts = ranked.join(starts, [key, "__block"]).select(F.struct(F.col(key), chunk).alias("kc"), uid)
     return uid_ranges(parts, "kc", uid).select(f"kc.{key}", "kc.chunk", "ranges")
 
 
@@ -107,6 +127,16 @@ def deleted_count(messages: DataFrame, gone: DataFrame, key: str = "id") -> Data
     return messages.join(gone.select(key).distinct(), key, "left_semi").agg(F.when(n == 0, F.raise_error(F.lit("no such message"))).otherwise(n).cast("long").alias("deleted"))
 
 
+def reattach_parts(messages: DataFrame, bodies: DataFrame, key: str = "id", raw: str = "raw") -> DataFrame:
+    """Messages whose placeholders are the bodies again, from a table of ``content_hash`` and ``body``. The bodies of a
+    message go to its row alone; placeholders without a body stay, and messages without any aren't joined."""
+    hashes = F.array_distinct(F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(r"\[detached:([0-9a-f]{64})\]"), F.lit(1)))
+    named = messages.select(key, F.explode(hashes).alias("content_hash"))
+    parts = named.join(bodies.select("content_hash", "body").dropDuplicates(["content_hash"]), "content_hash").groupBy(key).agg(F.collect_list(F.struct("content_hash", "body")).alias("__parts"))
+    held = messages.join(parts, key, "left")
+    return held.withColumn(raw, F.when(F.col("__parts").isNull(), F.col(raw)).otherwise(reattached(F.col(raw), F.col("__parts")))).select(*messages.columns)
+
+
 def insert_absent(store: DataFrame, new: DataFrame, key: str = "content_hash") -> DataFrame:
     """Rows to append to a store of blobs: keys that it doesn't have, once each."""
     return new.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import mime
 from ..functions import scalars as C
 from ..operators import entities, facets, maintain
 from ..sources import mail
@@ -47,6 +48,22 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", detect_text_file(F.col("text").cast("binary")).alias("is_text"))
 
 
+#: A message of two parts around a document, its text in base64 behind a plain part.
+_HEAD = "Subject: a document\nContent-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/plain\n\nplain\n--b\nContent-Type: application/pdf; name=a.pdf\nContent-Transfer-Encoding: base64\n\n"
+_TAIL = "\n--b--\n"
+
+
+@query("c15_c16_detached", f"""with b as (select doc_id, base64(encode(coalesce(text, ''))) as body from documents), w as (select *, '{_HEAD}' as head, '{_TAIL}' as tail from b)
+  select doc_id, sha256(head || case when body = '' then '' else '[detached:' || sha256(body) || ']' end || tail) as stored, case when body = '' then 0 else 1 end as parts,
+  sha256(head || body || tail) as restored from w""")
+def _(spark, d):
+    raw = F.concat(F.lit(_HEAD), mail.one_line_base64(F.coalesce("text", F.lit(""))), F.lit(_TAIL)).cast("binary")
+    held = read(spark, d, "documents").select("doc_id", mime.detached(raw).alias("d"))
+    bodies = held.select(F.explode("d.parts").alias("p")).select("p.*")
+    stored = held.select("doc_id", "d.raw", F.sha2("d.raw", 256).alias("stored"), F.size("d.parts").alias("parts"))
+    return maintain.reattach_parts(stored, bodies, "doc_id").select("doc_id", "stored", "parts", F.sha2("raw", 256).alias("restored"))
+
+
 @query("k02_insert_absent", "with {m} select distinct content_hash from messages where mailbox_id <> 'F' and content_hash not in (select content_hash from messages where mailbox_id = 'F')")
 def _(spark, d):
     m = messages(spark, d)
@@ -118,6 +135,21 @@ def _(spark, d):
     return facets.dashboard(messages(spark, d), JAN_97)
 
 
+@query("a10_dashboard_panels", f"""with {{m}}, {{c}}, totals as (select count(*) as messages, cast(sum(size) as bigint) as bytes, count(*) filter (regular_attachment_count >= 1) as with_attachment,
+  count(*) filter (regular_attachment_count < 1) as without_attachment, count(*) filter (date between {JAN_97} - cast(30 as bigint) * {DAY} and {JAN_97}) as recent, max(date) as newest from messages),
+  x as (select unnest(['messages', 'bytes', 'with_attachment', 'without_attachment', 'recent', 'newest']) as key, unnest([messages, bytes, with_attachment, without_attachment, recent, newest]) as value, unnest(range(1, 7)) as rank from totals),
+  h as (select date // {DAY} * {DAY} as day_ms, count(*) as n from messages where date between {JAN_97} - cast(30 as bigint) * {DAY} and {JAN_97} group by 1), g as (select unnest(range(min(day_ms), max(day_ms) + 1, {DAY})) as day_ms from h),
+  s as (select sender, count(*) as n from messages group by 1 order by n desc, sender limit 10), t as (select account_id, count(*) as n from messages group by 1 order by n desc, account_id limit 10),
+  l as (select id, size from messages order by size desc, id limit 10)
+  select 'total' as panel, cast(rank as integer) as rank, key, cast(value as bigint) as value from x
+  union all select 'day', cast(row_number() over (order by g.day_ms) as integer), cast(g.day_ms as varchar), coalesce(n, 0) from g left join h on g.day_ms = h.day_ms
+  union all select 'sender', cast(row_number() over (order by n desc, sender) as integer), sender, n from s
+  union all select 'account', cast(row_number() over (order by n desc, t.account_id) as integer), email, n from t join accounts a on a.account_id = t.account_id
+  union all select 'largest', cast(row_number() over (order by size desc, id) as integer), cast(id as varchar), size from l""")
+def _(spark, d):
+    return facets.dashboard_panels(messages(spark, d), accounts(spark, d), JAN_97)
+
+
 @query("facet_tree", "with {m}, p as (select id, string_split(substr(tag, 2), '/') as l from messages) select '/' || array_to_string(l[1:i], '/') as path, count(distinct id) as doc_count from p, lateral (select unnest(range(1, len(l) + 1)) as i) group by 1")
 def _(spark, d):
     return facets.facet_tree(messages(spark, d))
@@ -289,6 +321,18 @@ def _(spark, d):
     return entities.folder_paths(n.select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") - 1).alias("parent_id"), F.col("n_name").alias("name")))
 
 
+@query("j15_id_or_email", "with {c} select account_id, email from accounts where account_id = 4")
+def _(spark, d):
+    return entities.by_id_or_email(accounts(spark, d), 1, " ACC4@example.com").select("account_id", "email")
+
+
+@query("s13_first_recipient", "with {c} select e.event_id as id, a.account_id, 'INBOX' as mailbox_id from events e join accounts a on a.email = 'acc' || cast(e.user_id % 60 as varchar) || '@example.com'")
+def _(spark, d):
+    at = lambda k: F.concat(F.lit("Acc"), k.cast("string"), F.lit("@Example.com"))
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), F.struct(F.array(at(F.col("user_id") % 60), at(F.col("user_id") % 7)).alias("to")).alias("message"))
+    return mail.for_first_recipient(e, accounts(spark, d)).select("id", "account_id", "mailbox_id")
+
+
 @query("j17_changed_members", "select o_orderkey as id from orders where (o_orderkey % 3 = 0 or o_orderkey % 5 = 0) and o_orderstatus = 'P'")
 def _(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")

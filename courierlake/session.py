@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,15 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(held.getvalue())
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir``, so that it is computed once and survives lost executors.
+    Where that is unset, as in tests on one machine, a temporary folder takes its place; a cluster without it is refused."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="courierlake-"))
+    return df.checkpoint(eager=True)

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import base64
+import io
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.mime import parse_message
+from ..session import ship
 
 #: What raw messages start with.
 HEADERS = ("Return-Path:", "Received:", "Date:", "From:", "Subject:", "To:", "Message-ID:")
@@ -56,38 +61,102 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("content").alias("raw"), parse_message(F.col("content")).alias("message"))
 
 
+def for_first_recipient(messages: DataFrame, accounts: DataFrame, message: str = "message") -> DataFrame:
+    """Delivered messages with ``account_id`` and ``mailbox_id`` (INBOX) of the account whose address their first
+    recipient is; those to others drop out. Case doesn't count, and of accounts with one address the first has it."""
+    own = accounts.groupBy(F.lower(F.trim("email")).alias("__to")).agg(F.min("account_id").alias("account_id"))
+    to = F.lower(F.trim(F.get(F.col(message)["to"], F.lit(0))))
+    return messages.withColumn("__to", to).join(own, "__to").drop("__to").withColumn("mailbox_id", F.lit("INBOX"))
+
+
 def read_base64(df: DataFrame, column: str = "eml") -> DataFrame:
     """A batch of messages in base64, each with the number counted from the end, as batches are taken from there."""
     raw = F.try_to_binary(column, F.lit("base64"))
     return df.withColumn("raw", raw).withColumn("message", F.when(raw.isNotNull(), parse_message(raw)))
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``at`` (the number of the message) and ``raw`` of each message of mailbox files.
+#: Bytes of a mailbox file in one task.
+RANGE_BYTES = 128 << 20
+
+
+def filesystem(path: str):
+    """The filesystem of a path or URI (file, hdfs, s3, gs), and the path in it."""
+    return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else "file://" + os.path.abspath(path))
+
+
+class Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+class MboxFiles(DataSource):
+    """``spark.read.format("mbox_files").load(path)``: the messages of a mailbox file, or of all files below a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mbox_files"
+
+    def schema(self) -> str:
+        return "path string, at bigint, raw binary"
 
-    A message starts behind a line that begins with ``From ``; nothing is unescaped. A task reads whole files,
-    so files of over 2 GB are to be split at separators before.
+    def reader(self, schema) -> "MboxReader":
+        return MboxReader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)))
+
+
+class MboxReader(DataSourceReader):
+    """Reads files in ranges of bytes. A message belongs to the range that its separator line begins in, and its
+    reader goes on behind the end of the range as far as the message does."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
+
+    def partitions(self) -> list[InputPartition]:
+        files, path = filesystem(self.path)
+        here = files.get_file_info(path)
+        found = files.get_file_info(fs.FileSelector(path, recursive=True)) if here.type == fs.FileType.Directory else [here]
+        if here.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        return [Range(f.path, a, min(a + self.size, f.size)) for f in found if f.is_file for a in range(0, f.size, self.size)] or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        files, _ = filesystem(self.path)
+        with files.open_input_file(partition.path) as f:
+            f.seek(max(partition.start - 1, 0))
+            lines, at, first, held = io.BufferedReader(f, 1 << 20), partition.start, None, []
+            if at:  # to the first line that begins at or behind the start
+                at += len(lines.readline()) - 1
+            for line in lines:
+                separator = line.startswith(b"From ")
+                if separator and first is not None:
+                    yield partition.path, first, b"".join(held)
+                    first = None
+                if first is None and at >= partition.end:
+                    return
+                if separator:
+                    first, held = at, []
+                elif first is not None:
+                    held.append(line)
+                at += len(line)
+            if first is not None:
+                yield partition.path, first, b"".join(held)
+
+
+def read_mbox(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``path``, ``at`` (the byte at which its separator line begins) and ``raw`` of each message of mailbox files.
+
+    A message starts behind a line that begins with ``From ``; nothing is unescaped, and what stands before the first
+    such line is no message. Files are read in ranges of bytes, so a large one is many tasks; a task holds one message.
     """
-    small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, start, n, out = 0, None, 0, []
-                while at <= len(data):
-                    end = data.find(b"\n", at)
-                    end = len(data) if end < 0 else end
-                    if data.startswith(b"From ", at):
-                        if start is not None:
-                            out.append((p, n, data[start:at]))
-                            n += 1
-                        start = end + 1
-                    at = end + 1
-                if start is not None:
-                    out.append((p, n, data[start:]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "at", "raw"])
-
-    return small.select("path", "content").mapInArrow(split, "path string, at bigint, raw binary")
+    ship(spark)
+    spark.dataSource.register(MboxFiles)
+    return spark.read.format("mbox_files").option("rangeBytes", str(range_bytes)).load(path)
+
+
+def one_line_base64(x: Column) -> Column:
+    """Base64 without the line ends that Spark puts behind every 76 characters."""
+    return F.translate(F.base64(x.cast("binary")), "\r\n", "")
 
 
 def mbox_text(sender: str = "sender", date_ms: str = "date", raw: str = "raw", meta: str | None = None) -> Column:
@@ -95,7 +164,7 @@ def mbox_text(sender: str = "sender", date_ms: str = "date", raw: str = "raw", m
     at = F.timestamp_millis(F.col(date_ms))
     when = F.concat_ws(" ", F.date_format(at, "EEE MMM"), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, "HH:mm:ss yyyy"))
     line = F.concat(F.lit("From "), F.coalesce(sender, F.lit("unknown")), F.lit(" "), when, F.lit("\n"))
-    head = F.concat(F.lit("X-Archive-Metadata: "), F.base64(F.col(meta).cast("binary")), F.lit("\n")) if meta else F.lit("")
+    head = F.concat(F.lit("X-Archive-Metadata: "), one_line_base64(F.col(meta)), F.lit("\n")) if meta else F.lit("")
     return F.concat(line, head, F.col(raw).cast("string"), F.lit("\n"))
 
 

@@ -1,5 +1,6 @@
 """Tokens, grams, query syntax, scalars and MIME parsing on small cases."""
 
+import base64
 import io
 import zipfile
 
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from courierlake.functions import mime, scalars, text
+from courierlake.operators import maintain
 from courierlake.sources import mail
 
 
@@ -96,12 +98,56 @@ def test_mbox(spark, tmp_path):
     line = b"From a@x Mon Jan  1 00:00:00 2024\n"
     (tmp_path / "a.mbox").write_bytes(b"junk\n" + line + b"one\n>From x\n" + line + b"two")
     found = sorted((r["at"], bytes(r["raw"])) for r in mail.read_mbox(spark, str(tmp_path)).collect())
-    assert found == [(0, b"one\n>From x\n"), (1, b"two")]
+    assert found == [(5, b"one\n>From x\n"), (5 + len(line) + 12, b"two")]
     fmt = lambda b, n: spark.createDataFrame([(b, n)], "c binary, n string").select(mail.detect_format(F.col("c"), F.col("n"))).first()[0]
     assert fmt(line, "x") == "mbox" and fmt(b"From: a", "x.mbox") == "eml" and fmt(b"?", "a.PST") == "pst" and fmt(b"?", "a") is None
     assert mail.looks_like_text("Grüße".encode()) and not mail.looks_like_text(b"a\0b") and not mail.looks_like_text(b"") and not mail.looks_like_text(b"\x01" * 5)
 
 
+def test_long_metadata_is_one_header(spark):
+    df = spark.createDataFrame([("a@x", 0, "raw", "m" * 200)], "sender string, date long, raw string, meta string")
+    lines = df.select(mail.mbox_text(meta="meta")).first()[0].split("\n")
+    assert len(lines) == 4 and base64.b64decode(lines[1].removeprefix("X-Archive-Metadata: ")) == b"m" * 200 and lines[2] == "raw"
+
+
+def test_mbox_in_ranges(spark, tmp_path):
+    """Ranges that cut lines, separators and messages anywhere give each message once."""
+    bodies = [b"x" * (i * 7 % 50) + b"\r\nFrom: not a separator\n" * (i % 3) for i in range(40)]
+    data, at = b"", []
+    for i, b in enumerate(bodies):
+        at.append(len(data))
+        data += b"From a@x Mon Jan  1 00:00:00 2024\n" + b + b"\n"
+    (tmp_path / "a.mbox").write_bytes(data)
+    (tmp_path / "empty.mbox").write_bytes(b"")
+    reader = lambda n: mail.MboxReader(str(tmp_path), n)
+    for n in (1, 2, 3, 17, 35, 64, 1000, 10**6):
+        found = [(a, r) for p in reader(n).partitions() for _, a, r in reader(n).read(p)]
+        assert found == [(a, b + b"\n") for a, b in zip(at, bodies)], n
+    df = mail.read_mbox(spark, str(tmp_path), 100)
+    assert df.rdd.getNumPartitions() > 10 and sorted(r["at"] for r in df.collect()) == at
+
+
+def test_first_recipient(spark):
+    kind = "id int, message struct<to:array<string>>"
+    m = spark.createDataFrame([(1, (["A@x", "b@x"],)), (2, (["c@x", "a@x"],)), (3, ([],)), (4, (None,)), (5, None)], kind)
+    found = mail.for_first_recipient(m, spark.createDataFrame([(7, "a@x"), (8, " a@X"), (9, "b@x")], "account_id int, email string")).collect()
+    assert [(r.id, r.account_id, r.mailbox_id) for r in found] == [(1, 7, "INBOX")]
+
+
+def test_detached_columns(spark):
+    mixed = b"From: a@x\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nQUJD\r\n--b\r\nContent-Type: application/pdf; name=a.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nQUJD\r\nREVG\r\n--b\r\nContent-Type: image/png\r\n\r\n\xff\xfe\r\n--b--\r\n"
+    rows = [(1, mixed), (2, b"Subject: x\n\nplain"), (3, b""), (4, mixed), (5, None)]
+    df = spark.createDataFrame(rows, "id int, raw binary").select("id", mime.detached(F.col("raw")).alias("d"))
+    got = {r.id: r.d for r in df.collect()}
+    assert [bytes(p.body) for p in got[1].parts] == [b"QUJD\r\nREVG", b"\xff\xfe"] and got[1].raw.count(b"[detached:") == 2 and b"text/plain\r\n\r\nQUJD\r\n" in got[1].raw
+    assert bytes(got[2].raw) == rows[1][1] and not got[2].parts and not got[3].parts
+    bodies = df.select(F.explode("d.parts").alias("p")).select("p.*")
+    back = maintain.reattach_parts(df.select("id", "d.raw"), bodies)
+    assert {r.id: bytes(r.raw) for r in back.collect()} == {i: b or b"" for i, b in rows}
+    none = maintain.reattach_parts(df.select("id", "d.raw"), bodies.limit(0)).collect()
+    assert {r.id: bytes(r.raw) for r in none} == {i: bytes(d.raw) for i, d in got.items()}
+
+
 def test_detached_parts():
     body = {"0" * 64: b"AB", "1" * 64: b"CD"}
     raw = b"xxAByyCDzz"

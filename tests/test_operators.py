@@ -98,6 +98,38 @@ def test_uid_ranges(spark):
     assert maintain.uid_ranges(df, "k").first().ranges == "1:3,7,9:10"
 
 
+def test_uid_ranges_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(maintain, "UID_BLOCK", 4)
+    uids = [(k, u) for k in (1, 2) for u in range(60) if (u * 7 + k) % 11 > 2 or 20 < u < 37] + [(None, 3), (1, None)]
+    df = spark.createDataFrame(uids + uids[:9], "k int, uid long")
+
+    def ranges(us):
+        out = []
+        for u in us:
+            if out and out[-1][1] == u - 1:
+                out[-1][1] = u
+            else:
+                out.append([u, u])
+        return ",".join(str(a) if a == b else f"{a}:{b}" for a, b in out)
+
+    of = {k: sorted(u for j, u in uids if j == k and u is not None) for k in (1, 2)}
+    assert {r.k: r.ranges for r in maintain.uid_ranges(df, "k").collect()} == {k: ranges(us) for k, us in of.items()}
+    chunks = {(r.k, r.chunk): r.ranges for r in maintain.uid_chunks(df, "k", 7).collect()}
+    assert chunks == {(k, c): ranges(us[c * 7 : c * 7 + 7]) for k, us in of.items() for c in range(-(-len(us) // 7))}
+
+
+def test_deep_paths(spark):
+    f = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(70)] + [(100, 101, "x"), (101, 100, "y")], "id int, parent_id int, name string")
+    found = {r.id: r.path for r in entities.folder_paths(f).collect()}
+    assert all(found[i] == "/".join(f"n{j}" for j in range(i + 1)) for i in range(64)) and found[69].endswith("n68/n69") and set(found) == {*range(70), 100, 101}
+
+
+def test_account_by_id_or_email(spark):
+    a = spark.createDataFrame([(1, "a@x"), (2, "B@x "), (3, "b@x")], "account_id int, email string")
+    find = lambda *k: [r.account_id for r in entities.by_id_or_email(a, *k).collect()]
+    assert find(3, "a@x") == [3] and find(9, "b@X") == [2] and find(None, "a@x") == [1] and find(9, None) == [] and find(9, "c@x") == []
+
+
 def test_tree_and_paths(spark):
     f = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 99, "d")], "id int, parent_id int, name string")
     assert {r.id: r.path for r in entities.folder_paths(f).collect()} == {1: "a", 2: "a/b", 3: "a/b/c", 4: "d"}
