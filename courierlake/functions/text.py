@@ -105,13 +105,16 @@ def _replacing(a: str, b: str):
 
 def windows(x: Column, distinct: bool = False) -> Column:
     """The folded windows of three characters over the whole text, spaces included; or each of them once."""
-    s = fold_singles(F.coalesce(x, F.lit("")))
-    n = F.length(s)
-    out = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    out = F.array_distinct(out) if distinct else out
-    for a, b in DOUBLE.items():
-        out = F.transform(out, _replacing(a, b))
-    return F.when(n >= 3, out).otherwise(F.array().cast("array<string>"))
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
+        out = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+        out = F.array_distinct(out) if distinct else out
+        for a, b in DOUBLE.items():
+            out = F.transform(out, _replacing(a, b))
+        return F.when(n >= 3, out).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(fold_singles(F.coalesce(x, F.lit(""))), ""), of)  # once for a text: its work grows with its length
 
 
 def grams(x: Column) -> Column:

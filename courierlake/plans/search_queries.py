@@ -190,15 +190,15 @@ FOLD = "replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'a
 SEQ = "(' ' || array_to_string(list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[\\p{{L}}\\p{{N}}]+'), lambda x: case when length(x) < 41 then " + FOLD.format("x") + " else '' end), lambda x: x <> ''), ' ') || ' ')"
 
 
-@query("t01_tokens", "with {t} select id, len(list_filter(regexp_extract_all(body, '[\\p{L}\\p{N}]+'), lambda x: length(x) < 41)) as n, substr(" + SEQ.format("body") + ", 1, 80) as head from texts")
+@query("t01_tokens", "with {t} select id, len(list_filter(regexp_extract_all(body, '[\\p{L}\\p{N}]+'), lambda x: length(x) < 41)) as n, md5(" + SEQ.format("body") + ") as hash from texts")
 def _(spark, d):
     t = texts(spark, d)
-    return t.select("id", F.size(X.tokens(F.col("body"))).alias("n"), F.substring(X.sequence_text(F.col("body")), 1, 80).alias("head"))
+    return t.select("id", F.size(X.tokens(F.col("body"))).alias("n"), F.md5(X.sequence_text(F.col("body"))).alias("hash"))
 
 
-@query("t03_fold", "with {t} select id, " + FOLD.format("subject") + " as folded from texts")
+@query("t03_fold", "with {t} select id, " + "md5(" + FOLD.format("body") + ") as folded from texts")
 def _(spark, d):
-    return texts(spark, d).select("id", X.fold(F.col("subject")).alias("folded"))
+    return texts(spark, d).select("id", F.md5(X.fold(F.col("body"))).alias("folded"))
 
 
 @query("search_text_and", "with {t} select id from texts where contains(" + SEQ.format("body") + ", ' und ') and contains(" + SEQ.format("body") + ", ' der ')")
@@ -220,19 +220,19 @@ GRAM = "replace(replace(replace(substr(s, i, 3), 'ß', 'ss'), 'æ', 'ae'), 'œ',
 GRAMS = "list_distinct(list_transform(range(1, greatest(len(s) - 1, 1)), lambda i: " + GRAM + "))"
 
 
-@query("t04_trigrams", "with {t}, f as (select id, strip_accents(lower(subject)) as s from texts) select id, len(" + GRAMS + ") as n from f")
+@query("t04_trigrams", "with {t}, f as (select id, strip_accents(lower(body)) as s from texts) select id, len(" + GRAMS + ") as n from f")
 def _(spark, d):
-    return texts(spark, d).select("id", F.size(X.grams(F.col("subject"))).alias("n"))
+    return texts(spark, d).select("id", F.size(X.grams(F.col("body"))).alias("n"))
 
 
-@query("search_trigram", "with {t}, f as (select id, strip_accents(lower(subject)) as s from texts), g as (select id, " + GRAMS + " as l from f) select id from g where len(list_intersect(l, ['eau','aut','uti','tio','ion'])) >= 4")
+@query("search_trigram", "with {t}, f as (select id, strip_accents(lower(body)) as s from texts), g as (select id, " + GRAMS + " as l from f) select id from g where len(list_intersect(l, ['eau','aut','uti','tio','ion'])) >= 4")
 def _(spark, d):
-    return texts(spark, d).where(X.fuzzy_match([X.grams(F.col("subject"))], "eaution")).select("id")
+    return texts(spark, d).where(X.fuzzy_match([X.grams(F.col("body"))], "eaution")).select("id")
 
 
-@query("t08_word_or_fuzzy", "with {t}, f as (select id, strip_accents(lower(subject)) as s, " + SEQ.format("subject") + " as q from texts), g as (select id, q, " + GRAMS + " as l from f) select id from g where contains(q, ' thion ') or len(list_intersect(l, ['thi','hio','ion'])) >= 2")
+@query("t08_word_or_fuzzy", "with {t}, f as (select id, strip_accents(lower(body)) as s, " + SEQ.format("body") + " as q from texts), g as (select id, q, " + GRAMS + " as l from f) select id from g where contains(q, ' thion ') or len(list_intersect(l, ['thi','hio','ion'])) >= 2")
 def _(spark, d):
-    return texts(spark, d).where(filters.words_or_grams("thion", ["subject"], ["subject"])).select("id")
+    return texts(spark, d).where(filters.words_or_grams("thion", ["body"], ["body"])).select("id")
 
 
 @query("rank_bm25", "with {t}, k as (select id, list_filter(list_transform(regexp_extract_all(body, '[\\p{L}\\p{N}]+'), lambda x: case when length(x) < 41 then " + FOLD.format("x") + """ else '' end), lambda x: x <> '') as l from texts),

@@ -215,9 +215,9 @@ def _(spark, d):
     return entities.enrich(m, accounts(spark, d).withColumnRenamed("email", "account_email"), boxes).select("id", "account_email", "mailbox_name")
 
 
-@query("owner_default", "with {c} select a.account_id, coalesce(n_name, 'Unknown') as created_user_name, case when n_name is null then 'N/A' else lower(n_name) end as created_user_email from accounts a left join nation n on n.n_nationkey = a.created_by and n.n_nationkey < 12")
+@query("owner_default", "with {c} select a.account_id, coalesce(n_name, 'Unknown') as created_user_name, case when n_name is null then 'N/A' else lower(n_name) end as created_user_email from accounts a left join nation n on n.n_nationkey * 2 = a.created_by")
 def _(spark, d):
-    users = read(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("user_name"), F.lower("n_name").alias("user_email"))
+    users = read(spark, d, "nation").select((F.col("n_nationkey") * 2).alias("user_id"), F.col("n_name").alias("user_name"), F.lower("n_name").alias("user_email"))
     return entities.owner_of(accounts(spark, d), users).select("account_id", "created_user_name", "created_user_email")
 
 
@@ -265,19 +265,20 @@ def _(spark, d):
 
 
 def _stores(spark, d):
-    """Messages with the hashes of their attachments, and a store of all contents of parts."""
+    """Messages with the hashes of their attachments, and a store with two contents of each part, of which messages name one."""
     lists = attachments(spark, d).groupBy(F.col("eid").alias("id")).agg(F.collect_set("content_hash").alias("attachment_content_hash"))
-    m = messages(spark, d).where("mailbox_id = 'F' and account_id % 10 = 0").join(lists, "id")
-    return m, read(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("content_hash"))
+    m = messages(spark, d).join(lists, "id", "left")
+    kinds = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("kind")
+    return m, read(spark, d, "part").select("p_partkey", kinds).select(F.concat("kind", F.col("p_partkey").cast("string")).alias("content_hash"))
 
 
-@query("orphan_blobs", "select concat('a', cast(p_partkey as varchar)) as content_hash from part where p_partkey not in (select l_partkey from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' and o_custkey % 10 = 0)")
+@query("orphan_blobs", "select kind || cast(p_partkey as varchar) as content_hash from part, (values ('a'), ('b')) k(kind) where kind = 'b' or p_partkey not in (select l_partkey from lineitem join orders on o_orderkey = l_orderkey)")
 def _(spark, d):
     m, blobs = _stores(spark, d)
     return entities.orphan_blobs(blobs, m)
 
 
-@query("r14_missing_blobs", "with {m} select distinct content_hash from messages where mailbox_id = 'F' and account_id % 10 = 0 and id in (select l_orderkey from lineitem)")
+@query("r14_missing_blobs", "with {m} select distinct content_hash from messages union select distinct 'a' || cast(l_partkey as varchar) from lineitem join orders on o_orderkey = l_orderkey where l_partkey not in (select p_partkey from part)")
 def _(spark, d):
     m, blobs = _stores(spark, d)
     return entities.missing_blobs(blobs, m)
@@ -294,12 +295,12 @@ def _(spark, d):
     return maintain.dedup(messages(spark, d), attachments(spark, d))[1].select("id")
 
 
-@query("j12_grant", "select c_custkey, n_nationkey from customer, nation where c_custkey < 5 and n_nationkey < 4")
+@query("j12_grant", "select c_custkey, n_nationkey from customer, nation")
 def _(spark, d):
     from ..operators.access import grant
 
-    users = read(spark, d, "customer").where("c_custkey < 5").select("c_custkey", F.create_map(F.lit(2).cast("long"), F.lit(1).cast("long")).alias("account_access"))
-    given = grant(users, read(spark, d, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").cast("long").alias("account_id")), 9)
+    users = read(spark, d, "customer").select("c_custkey", F.create_map(F.lit(2).cast("long"), F.lit(1).cast("long")).alias("account_access"))
+    given = grant(users, read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("account_id")), 9)
     return given.select("c_custkey", F.explode("account_access").alias("n_nationkey", "role")).select("c_custkey", F.col("n_nationkey").cast("int"))
 
 
@@ -425,12 +426,12 @@ def _delete(spark, d):
     return maintain.delete(m, attachments(spark, d), blobs, m.where("account_id < 20").select("id"))
 
 
-@query("r04_delete_messages", "with {m} select id from messages where mailbox_id = 'F' and id in (select l_orderkey from lineitem) and account_id in (20, 30)")
+@query("r04_delete_messages", "with {m} select id from messages where account_id >= 20")
 def _(spark, d):
     return _delete(spark, d)[0].select("id")
 
 
-@query("r06_delete_blobs", "select concat('a', cast(p_partkey as varchar)) as content_hash from part where p_partkey in (select l_partkey from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' and o_custkey % 40 in (20, 30))")
+@query("r06_delete_blobs", "select concat('a', cast(p_partkey as varchar)) as content_hash from part where p_partkey in (select l_partkey from lineitem join orders on o_orderkey = l_orderkey where o_custkey % 40 >= 20)")
 def _(spark, d):
     return _delete(spark, d)[2]
 
@@ -578,8 +579,7 @@ def _(spark, d):
 
 @query("x02_first_copies", "with {m} select account_id, content_hash, mailbox_id, min(ingest_at) as ingest_at from messages group by 1, 2, 3")
 def _(spark, d):
-    """The batch reading of the streaming rule: the first copy of each key stays."""
-    return messages(spark, d).groupBy("account_id", "content_hash", "mailbox_id").agg(F.min("ingest_at").alias("ingest_at"))
+    return ingest.first_copies(messages(spark, d), time="ingest_at").select("account_id", "content_hash", "mailbox_id", "ingest_at")
 
 
 @query("x_windows_tumbling", "select cast(time_bucket(interval 1 hour, ts) as timestamp) as start, event_type, count(*) as n from events group by 1, 2")

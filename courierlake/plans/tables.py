@@ -16,7 +16,7 @@ ATTACHMENTS_SQL = """attachments as (select l_orderkey * 10 + l_linenumber as id
   cast(floor(l_extendedprice) as bigint) as size, concat('file', cast(l_partkey % 300 as varchar), case l_returnflag when 'A' then '.pdf' when 'N' then '.PNG' else '' end) as name,
   case l_returnflag when 'A' then 'pdf' when 'N' then 'png' end as attachment_ext, l_linestatus as attachment_category, epoch_ms(l_shipdate) as date,
   l_linenumber as page_count, l_returnflag = 'R' as is_message from lineitem)"""
-TEXTS_SQL = """texts as (select doc_id as id, doc_id % 40 as account_id, source as mailbox_id, substr(text, 1, 60) as subject, text as body, doc_id * 1000 as date from documents)"""
+TEXTS_SQL = """texts as (select doc_id as id, doc_id % 40 as account_id, source as mailbox_id, concat_ws(' ', source, lang) as subject, text as body, doc_id * 1000 as date from documents)"""
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,13 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("account_id"), F.col("source").alias("mailbox_id"), F.substring("text", 1, 60).alias("subject"), F.col("text").alias("body"), (F.col("doc_id") * 1000).alias("date"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("account_id"), F.col("source").alias("mailbox_id"), F.concat_ws(" ", "source", "lang").alias("subject"), F.col("text").alias("body"), (F.col("doc_id") * 1000).alias("date"))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other account has a row, so that some are orphans."""
-    c = read(spark, sf_dir, "customer").where("c_custkey < 40 and c_custkey % 2 = 0")
-    return c.select(F.col("c_custkey").alias("account_id"), F.concat(F.lit("acc"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"), F.col("c_nationkey").alias("created_by"))
+    """A row for each customer, under even numbers, so that messages of odd accounts are orphans."""
+    key = F.col("c_custkey") * 2
+    return read(spark, sf_dir, "customer").select(key.alias("account_id"), F.concat(F.lit("acc"), key.cast("string"), F.lit("@example.com")).alias("email"), F.col("c_nationkey").alias("created_by"))
 
 
-ACCOUNTS_SQL = """accounts as (select c_custkey as account_id, concat('acc', cast(c_custkey as varchar), '@example.com') as email, c_nationkey as created_by from customer where c_custkey < 40 and c_custkey % 2 = 0)"""
+ACCOUNTS_SQL = """accounts as (select c_custkey * 2 as account_id, concat('acc', cast(c_custkey * 2 as varchar), '@example.com') as email, c_nationkey as created_by from customer)"""

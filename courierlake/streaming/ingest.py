@@ -10,7 +10,12 @@ KEY = ("account_id", "mailbox_id", "content_hash")
 
 def first_copies(messages: DataFrame, within: str = "7 days", key=KEY, time: str = "ingest_ts") -> DataFrame:
     """Messages without repeats that come within a time; the first copy counts, where a batch ``dedup`` keeps the
-    last. State is dropped behind the watermark."""
+    last. State is dropped behind the watermark. Of a table that isn't a stream the first copy of all counts, of equal
+    times the one with the smallest id."""
+    if not messages.isStreaming:
+        rest = [c for c in messages.columns if c not in key]
+        first = messages.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(time, "id")).alias("__row"))
+        return first.select(*(F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in messages.columns))
     return messages.withWatermark(time, within).dropDuplicatesWithinWatermark(list(key))
 
 
