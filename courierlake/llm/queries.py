@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import budget_mix, embedding_lsh, media_shards, passage_chains, piece_tokens, quality_qda, simhash_tree, toxicity_fm, url_markov, warc_zstd
+from . import budget_mix, embedding_lsh, line_dedup, media_shards, passage_chains, periodic_runs, piece_tokens, quality_qda, simhash_tree, source_audit, toxicity_fm, url_markov, warc_zstd
 from .shared import held_out, table
 
 
@@ -73,10 +73,31 @@ def op10_embedding_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"top_run.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * top_run.length div top_run.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 #: What SQL can express. Fitted models, stored pictures, SentencePiece, SimHash and the knapsack are tested against brute force.
 SQL = {
     "op8_warc_zstandard": """with p as (select page_id, coalesce(html, '') as html from pages), d as (select page_id, strlen(html) as n, sha256(html) as digest from p),
@@ -88,6 +109,25 @@ SQL = {
   r as (select vec_id as id, vec_id as c from v union select p.b, r.c from r join p on p.a = r.id), c as (select id, min(c) as component_id from r group by id),
   n as (select a, count(*) as n_links from p group by a)
   select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept from v join c on c.id = v.vec_id left join n on n.a = v.vec_id""",
+    "op11_source_audit": f"""with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text, row_number() over () as doc from documents),
+  o as (select lang, source, doc, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+  kept as (select lang, term, count(*) as n from o group by all having count(distinct doc) >= 10),
+  g as (select distinct lang, source from d), c as (select lang, source, term, count(*) as n from o semi join kept using (lang, term) group by all),
+  lang_size as (select lang, sum(n) as total, count(*) as terms from kept group by lang), group_size as (select lang, source, sum(n) as total from c group by all),
+  p as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.terms)::hugeint as p,
+      1 + (1000000000::hugeint * (kept.n + 2)) // (l.total + 2 * l.terms)::hugeint as q
+    from g join kept using (lang) join lang_size l using (lang) left join group_size s using (lang, source) left join c using (lang, source, term)),
+  v as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q
+    union all select a.lang, a.source, 'pair', b.source, coalesce(f.value, 0) from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join (select x.lang, x.source, y.source as other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) f
+      on f.lang = a.lang and f.source = a.source and f.other = b.source),
+  r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from v)
+  select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 10""",
+    "op13_line_dedup": f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents), l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
+  k as (select *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') as key from l),
+  s as (select key, min(doc_id) as first_id from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+  m as (select doc_id, i, line, coalesce(doc_id > first_id, false) as gone from k left join s on s.key = k.key)
+  select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by doc_id""",
 }
 
 
