@@ -23,8 +23,8 @@ from .shared import columns, fewer, settled, small_batches
 LEAST_DOCS, TOP = 10, 10
 #: Shares are counted in parts of this number.
 UNIT = 1_000_000_000
-#: Bits of a digit of the selection (two bytes of a term), and pairs of sources that a task sums at once.
-DIGIT, PAIRS = 16, 1 << 20
+#: Bits of a digit of the selection, and pairs of sources that a task sums at once.
+DIGIT, PAIRS = 8, 1 << 20
 #: Terms of its groups that a task holds before it sends their counts on.
 HELD = 200_000
 #: Letters in lower case and bytes of characters beyond ASCII stay, all else parts terms.
@@ -125,9 +125,8 @@ def select_top(rows: DataFrame, by: list[str], value: str, item: str, k: int = T
         same = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(1), F.octet_length("lo") + 1), lambda i: F.substring(lo, i, F.lit(1)) == F.substring(hi, i, F.lit(1))), False), F.lit(1))
         at = fewer(settled(ends.select(*by, same.alias("__at"))))
         here = tied.join(at, by)
-        two = F.rpad(F.hex(F.substring(F.encode(F.col(item), "UTF-8"), F.col("__at"), F.lit(2))), 4, "0")
-        ended = F.octet_length(item) < F.col("__at")
-        digit = F.when(ended, F.lit(-1)).otherwise(F.conv(two, 16, 10).cast("int") * 2 + (F.octet_length(item) > F.col("__at")).cast("int"))
+        byte = F.conv(F.hex(F.substring(F.encode(F.col(item), "UTF-8"), F.col("__at"), F.lit(1))), 16, 10).cast("int")
+        digit = F.when(F.octet_length(item) < F.col("__at"), F.lit(-1)).otherwise(byte)
         here = here.withColumn("__d", digit.cast("long"))
         cut = fewer(settled(_digit(here.select(*by, F.col("__k").alias("k"), F.col("__d").alias("digit")), by, False)))
         dealt = settled(here.join(cut, by))
