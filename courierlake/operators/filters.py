@@ -15,6 +15,8 @@ from ..functions import text as X
 MESSAGE_FIELDS = ("subject", "body", "sender", "to", "cc", "bcc", "attachment_name")
 MESSAGE_FUZZY = ("subject", "sender", "to", "cc", "bcc", "attachment_name")
 ATTACHMENT_FIELDS, ATTACHMENT_FUZZY = ("subject", "text", "name", "sender"), ("subject", "sender", "name")
+#: Columns whose ranges a search over everything may ask for, with their types.
+MESSAGE_RANGES = {c: "bigint" for c in ("date", "internal_date", "ingest_at", "size")}
 LISTS = {"to", "cc", "bcc", "attachment_name"}
 
 
@@ -25,22 +27,26 @@ def _words(field: str) -> list[Column]:
     return [F.concat(F.lit(""), F.array_join(F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), X.sequence_text), "\n"))]
 
 
-def _grams(field: str) -> Column:
-    """Grams of a text, or those of all values of a list together."""
-    if field not in LISTS:
-        return X.grams(F.col(field))
-    return F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), X.grams)))
+def _gram_text(field: str) -> Column:
+    """Where grams are sought: a text, or all values of a list in lines of their own, as no term holds a line feed."""
+    return X.gram_text(F.array_join(field, "\n") if field in LISTS else F.col(field))
 
 
-def words_or_grams(query: str, fields: Collection[str], fuzzy: Collection[str] = ()) -> Column:
-    """The query over ``fields``, or its fuzzy layer over ``fuzzy``. Tokens and grams of a field are computed once for a row."""
+def words_or_grams(query: str, fields: Collection[str], fuzzy: Collection[str] = (), ranges: dict[str, str] | None = None) -> Column:
+    """The query over ``fields``, or its fuzzy layer over ``fuzzy``. Clauses may name one of the fields, or a range of a column in
+    ``ranges`` (its name and type). What is sought in a field is made once for a row."""
+    ranges = ranges or {}
     each = lambda made: F.struct(*(c.alias(f"f{i}") for i, c in enumerate(made)))
     seqs = [w for f in fields for w in _words(f)]
-    whole = [F.array_join(f, " ") if f in LISTS else F.col(f) for f in fields]
-    words = X.may_match(whole, query) & X.let(each(seqs), lambda s: X.word_match([s[f"f{i}"] for i in range(len(seqs))], query))
+
+    def words(s: Column) -> Column:
+        own = [s[f"f{i}"] for i in range(len(seqs))]
+        return X.word_match(own, query, dict(zip(fields, own)), {c: (F.col(c), kind) for c, kind in ranges.items()})
+
+    found = X.let(each(seqs), words)
     if not fuzzy or not X.fuzzy_terms(query):
-        return words
-    return words | X.let(each([_grams(f) for f in fuzzy]), lambda g: X.fuzzy_match([g[f"f{i}"] for i in range(len(fuzzy))], query))
+        return found
+    return found | X.let(each([_gram_text(f) for f in fuzzy]), lambda g: X.fuzzy_match([g[f"f{i}"] for i in range(len(fuzzy))], query))
 
 
 def within(column: str, ids: Collection | None) -> Column:
@@ -117,7 +123,7 @@ class MessageFilter:
             c = c & F.array_contains(name, value) if value is not None else c
         c = c & has_tags("tags", self.tags)
         if self.text is not None:
-            c = c & words_or_grams(self.text, MESSAGE_FIELDS, MESSAGE_FUZZY)
+            c = c & words_or_grams(self.text, MESSAGE_FIELDS, MESSAGE_FUZZY, MESSAGE_RANGES)
         if self.body is not None:
             c = c & words_or_grams(self.body, ["body"])
         for name in ("subject", "sender", "to", "cc", "bcc"):

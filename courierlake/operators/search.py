@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .filters import LISTS, MESSAGE_FIELDS, MESSAGE_FUZZY, AttachmentFilter, MessageFilter, within
+from .filters import LISTS, AttachmentFilter, MessageFilter, within
+from .terms import K1, B, TermIndex, parts_of, query_weights
 
 SORT_KEYS = {"DATE": "date", "SIZE": "size", "INTERNAL_DATE": "internal_date", "INGEST_AT": "ingest_at"}
 MOST_PAGE = 500
-K1, B, WORD_BOOST = 1.2, 0.75, 3.0
 
 
 def resolve_sort(sort_by: str | None, has_text: bool) -> str:
@@ -46,8 +46,8 @@ def _counts(terms: list[str]):
     return lambda t: F.array(F.size(t), *(F.size(F.filter(t, _equal_to(w))) for w in terms))
 
 
-def _scored(df: DataFrame, parts: list[tuple[float, Column, list[str]]]) -> DataFrame:
-    """``df`` with ``score``: for each part its weight times the BM25 of its terms in its array of tokens, summed.
+def _scored(df: DataFrame, parts: list[tuple[float, Column, dict[str, float]]]) -> DataFrame:
+    """``df`` with ``score``: for each part its weight times the BM25 of its terms (with weights of their own) in its array of tokens, summed.
 
     Term counts come from each row's array, which is computed once for all terms; only one row of totals (rows, mean length and
     rows with each term) is joined to all, so nothing is shuffled by term.
@@ -57,17 +57,17 @@ def _scored(df: DataFrame, parts: list[tuple[float, Column, list[str]]]) -> Data
         return df.withColumn("score", F.lit(0.0))
     out, totals = df, [F.count("*").cast("double").alias("__all")]
     for i, (_, found, terms) in enumerate(parts):
-        out = out.withColumn(f"__c{i}", X.let(found, _counts(terms)))
+        out = out.withColumn(f"__c{i}", X.let(found, _counts(list(terms))))
         totals.append(F.avg(F.col(f"__c{i}")[0]).alias(f"__avg{i}"))
         totals += [F.count_if(F.col(f"__c{i}")[j + 1] > 0).cast("double").alias(f"__df{i}_{j}") for j in range(len(terms))]
     out = out.crossJoin(F.broadcast(out.agg(*totals)))  # one row
     score = F.lit(0.0)
     for i, (weight, _, terms) in enumerate(parts):
         norm = K1 * (1 - B + B * F.col(f"__c{i}")[0] / F.col(f"__avg{i}"))
-        for j in range(len(terms)):
+        for j, own in enumerate(terms.values()):
             tf, n = F.col(f"__c{i}")[j + 1], F.col(f"__df{i}_{j}")
             idf = F.log(1 + (F.col("__all") - n + 0.5) / (n + 0.5))
-            score = score + F.when(tf > 0, weight * idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
+            score = score + F.when(tf > 0, weight * own * idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
     return out.withColumn("score", score).drop(*(c for c in out.columns if c.startswith("__")))
 
 
@@ -78,14 +78,14 @@ def _of(field: str, made) -> Column:
     return F.flatten(F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda v: made(v)))
 
 
-def query_words(query: str) -> list[str]:
-    """The distinct tokens of what a query doesn't exclude."""
-    return list(dict.fromkeys(w for part in X.clauses(query) for c in part if not c.excluded for w in X.query_tokens(c.text)))
-
-
-def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id") -> DataFrame:
-    """``df`` with ``score``: BM25 of the query's words, summed over the fields with their weights."""
-    return _scored(df, [(weight, _of(f, X.tokens), query_words(query)) for f, weight in fields.items()])
+def bm25(df: DataFrame, query: str, fields: dict[str, float], key: str = "id", index: TermIndex | None = None) -> DataFrame:
+    """``df`` with ``score``: BM25 of the query's words, summed over the fields with their weights. With an ``index`` of ``df`` the
+    counts come from there and no text is read."""
+    words = {w: max(by.values()) for w, by in query_weights(query).items()}
+    if index is None:
+        return _scored(df, [(weight, _of(f, X.tokens), words) for f, weight in fields.items()])
+    scores = index.scores([(weight, "word", f, words) for f, weight in fields.items()]).withColumnRenamed("id", key)
+    return df.join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def by_relevance(df: DataFrame, query: str, fields: dict[str, float], page: int, size: int) -> DataFrame:
@@ -94,21 +94,21 @@ def by_relevance(df: DataFrame, query: str, fields: dict[str, float], page: int,
 
 
 def relevance(df: DataFrame, what: MessageFilter) -> DataFrame:
-    """``df`` with ``score``: what a filter's text, subject and body ask for. Words weigh ``WORD_BOOST`` in the fields that have a fuzzy
+    """``df`` with ``score``: what a filter's text, subject and body ask for. Words weigh three in the fields that have a fuzzy
     search too, and the grams of its terms one; the body alone has words only. All rows of ``df`` count for how rare a term is."""
-    parts = []
-    for query, fields, fuzzy in ((what.text, MESSAGE_FIELDS, MESSAGE_FUZZY), (what.subject, ("subject",), ("subject",)), (what.body, ("body",), ())):
-        if query and query.strip():
-            grams = list(dict.fromkeys(g for t in X.fuzzy_terms(query) for g in X.query_grams(t)))
-            parts += [(WORD_BOOST if fuzzy else 1.0, _of(f, X.tokens), query_words(query)) for f in fields]
-            parts += [(1.0, _of(f, X.windows), grams) for f in fuzzy]
-    return _scored(df, parts)
+    made = {"word": X.tokens, "gram": X.windows}
+    return _scored(df, [(weight, _of(f, made[kind]), terms) for weight, kind, f, terms in parts_of(what)])
 
 
-def search(df: DataFrame, what: MessageFilter | AttachmentFilter, accounts=None, sort_by: str | None = None, descending: bool = True, page: int = 1, size: int = 20) -> DataFrame:
+def search(df: DataFrame, what: MessageFilter | AttachmentFilter, accounts=None, sort_by: str | None = None, descending: bool = True, page: int = 1, size: int = 20, index: TermIndex | None = None) -> DataFrame:
     """A page of the hits of a filter. Attachments have no internal date and sort by date for it. Relevance is that among all rows which
-    the user may see, not among the hits."""
+    the user may see, not among the hits. With an ``index`` of the messages, texts are neither searched nor scored."""
     key = resolve_sort(sort_by, isinstance(what, MessageFilter) and what.has_text())
+    if index is not None and isinstance(what, MessageFilter):
+        hits = index.hits(df, what, accounts)
+        if key == "RELEVANCE":
+            return sorted_page(hits.join(index.scores(parts_of(what), accounts), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "score", page, size)
+        return sorted_page(hits, SORT_KEYS[key], page, size, descending)
     if key == "RELEVANCE":
         return sorted_page(relevance(df.where(within("account_id", accounts)), what).where(what.column(accounts)), "score", page, size)
     column = "date" if key == "INTERNAL_DATE" and isinstance(what, AttachmentFilter) else SORT_KEYS[key]

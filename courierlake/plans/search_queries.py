@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import access, filters, search
 from ..operators.filters import AttachmentFilter, FilterRule, MessageFilter
 from .registry import query
-from .tables import accounts, attachments, messages, ms, read, texts
+from .tables import accounts, attachments, messages, ms, read, text_terms, texts
 
 JAN_96, JAN_97 = 820454400000, 852076800000
 M = "with {m} select id from messages where "
@@ -203,7 +203,8 @@ def _(spark, d):
 
 @query("search_text_and", "with {t} select id from texts where contains(" + SEQ.format("body") + ", ' und ') and contains(" + SEQ.format("body") + ", ' der ')")
 def _(spark, d):
-    return texts(spark, d).where(filters.words_or_grams("Und der", ["body"])).select("id")
+    """From the stored terms: the files of two words."""
+    return text_terms(spark, d).matches("Und der", ["body"])
 
 
 @query("search_text_or_not", "with {t} select id from texts where (contains(" + SEQ.format("body") + ", ' que ') and not contains(" + SEQ.format("body") + ", ' una ')) or contains(" + SEQ.format("body") + ", ' the and ')")
@@ -227,7 +228,7 @@ def _(spark, d):
 
 @query("search_trigram", "with {t}, f as (select id, strip_accents(lower(body)) as s from texts), g as (select id, " + GRAMS + " as l from f) select id from g where len(list_intersect(l, ['eau','aut','uti','tio','ion'])) >= 4")
 def _(spark, d):
-    return texts(spark, d).where(X.fuzzy_match([X.grams(F.col("body"))], "eaution")).select("id")
+    return texts(spark, d).where(X.fuzzy_match([X.gram_text(F.col("body"))], "eaution")).select("id")
 
 
 @query("t08_word_or_fuzzy", "with {t}, f as (select id, strip_accents(lower(body)) as s, " + SEQ.format("body") + " as q from texts), g as (select id, q, " + GRAMS + " as l from f) select id from g where contains(q, ' thion ') or len(list_intersect(l, ['thi','hio','ion'])) >= 2")
@@ -241,7 +242,36 @@ def _(spark, d):
   select id, round(case when a > 0 then ln(1 + (alls - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) else 0 end
     + case when b > 0 then ln(1 + (alls - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) else 0 end, 6) as score from c, s""")
 def _(spark, d):
-    return search.bm25(texts(spark, d), "the erst", {"body": 1.0}).select("id", F.round("score", 6).alias("score"))
+    return search.bm25(texts(spark, d).select("id"), "the erst", {"body": 1.0}, index=text_terms(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+def seen(spark, d):
+    """Texts with the columns that filters beside the stored terms look at."""
+    numbers = [F.lit(0).cast("long").alias(c) for c in ("internal_date", "ingest_at", "size", "regular_attachment_count")]
+    return texts(spark, d).select("id", "account_id", "mailbox_id", "date", *numbers, F.lit(None).cast("array<string>").alias("tags"))
+
+
+def ranked_page(found):
+    """A page of the best hits with their places, which stand for the order."""
+    return found.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("position"), "id", F.round("score", 6).alias("score"))
+
+
+WORDS_OF = "list_filter(list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda x: case when length(x) < 41 then " + FOLD.format("x") + " else '' end), lambda x: x <> '')"
+COUNT = "len(list_filter({0}, lambda x: x = '{1}'))"
+PART = "{w} * ln(1 + (alls - d{i} + 0.5) / (d{i} + 0.5)) * c{i} * 2.2 / (c{i} + 1.2 * (0.25 + 0.75 * n{i} / m{i}))"
+_scored = [("lb", "the", 1.0), ("ls", "src7", 3.0), ("gs", "src", 1.0), ("gs", "rc7", 1.0)]
+
+
+@query("search_relevance_fields", "with {t}, k as (select id, " + WORDS_OF.format("body") + " as lb, " + WORDS_OF.format("subject") + """ as ls, list_transform(range(1, greatest(length(subject) - 1, 1)), lambda i: substr(lower(subject), i, 3)) as gs from texts),
+  c as (select id, """ + ", ".join(f"{COUNT.format(l, t)} as c{i}, len({l}) as n{i}" for i, (l, t, _) in enumerate(_scored)) + """ from k),
+  s as (select count(*)::double as alls, """ + ", ".join(f"count(*) filter (c{i} > 0)::double as d{i}, avg(n{i}) as m{i}" for i in range(4)) + """ from c),
+  r as (select id, """ + " + ".join(f"case when c{i} > 0 then {PART.format(w=w, i=i)} else 0 end" for i, (_, _, w) in enumerate(_scored)) + """ as score from c, s where c0 > 0 and (c1 > 0 or c2 > 0 and c3 > 0))
+  select row_number() over (order by round(score, 6) desc, id) as position, id, round(score, 6) as score from r order by round(score, 6) desc, id limit 40""")
+def _(spark, d):
+    """Subject and body together: words of the subject weigh three, its grams one, words of the body one."""
+    what = MessageFilter(subject="src7", body="the")
+    found = search.search(seen(spark, d), what, sort_by="RELEVANCE", size=500, index=text_terms(spark, d)).withColumn("score", F.round("score", 6))
+    return ranked_page(search.sorted_page(found, "score", 1, 40))
 
 
 @query("search_relevance", "with {t}, k as (select id, list_filter(list_transform(regexp_extract_all(body, '[\\p{L}\\p{N}]+'), lambda x: case when length(x) < 41 then " + FOLD.format("x") + """ else '' end), lambda x: x <> '') as l from texts where id % 40 < 20),
@@ -251,8 +281,7 @@ def _(spark, d):
   select row_number() over (order by score desc, id) as position, id, round(score, 6) as score from r order by score desc, id limit 30""")
 def _(spark, d):
     """Ranked among all rows of the accounts that may be seen; the position stands for the order."""
-    found = search.search(texts(spark, d), MessageFilter(body="the that"), accounts=set(range(20)), sort_by="RELEVANCE", size=30)
-    return found.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("position"), "id", F.round("score", 6).alias("score"))
+    return ranked_page(search.search(seen(spark, d), MessageFilter(body="the that"), accounts=set(range(20)), sort_by="RELEVANCE", size=30, index=text_terms(spark, d)))
 
 
 @query("t12_facet_prefixes", "with {m}, p as (select id, string_split(substr(tag, 2), '/') as l from messages) select id, '/' || array_to_string(l[1:i], '/') as path from p, lateral (select unnest(range(1, len(l) + 1)) as i)")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import terms
+from ..session import new_dir
+
 MESSAGES_SQL = """messages as (select o_orderkey as id, o_custkey % 40 as account_id, o_orderstatus as mailbox_id, o_orderkey as uid,
   concat('user', cast(o_custkey % 500 as varchar), '@example.com') as sender, epoch_ms(o_orderdate) as date,
   case when o_orderkey % 13 = 0 then 0 else epoch_ms(o_orderdate) + (o_orderkey % 7 - 3) * 3600000 end as internal_date,
@@ -62,3 +65,22 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACCOUNTS_SQL = """accounts as (select c_custkey * 2 as account_id, concat('acc', cast(c_custkey * 2 as varchar), '@example.com') as email, c_nationkey as created_by from customer)"""
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, tag: str, write) -> str:
+    """The folder of what ``write(path)`` derives from the tables in ``sf_dir``, written once for each application, as an ingest would."""
+    key = spark.sparkContext.applicationId, f"{tag} {sf_dir}"
+    if key not in _stored:
+        path = new_dir(spark, tag)
+        write(path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def text_terms(spark: SparkSession, sf_dir: str) -> terms.TermIndex:
+    """The stored terms of ``texts``: words of subject and body, grams of the subject."""
+    rows = lambda: terms.term_rows(texts(spark, sf_dir), ["subject", "body"], ["subject"])
+    return terms.TermIndex(spark, once(spark, sf_dir, "terms", lambda path: terms.write(rows(), path, "overwrite")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,13 +29,35 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``, so that it is computed once and survives lost executors.
-    Where that is unset, as in tests on one machine, a temporary folder takes its place; a cluster without it is refused."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
+    machine, a temporary folder takes its place; a cluster without it is refused.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="courierlake-"))
+        named = "file://" + tempfile.mkdtemp(prefix="courierlake-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def new_dir(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``new_dir`` named, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that it is computed once and survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
