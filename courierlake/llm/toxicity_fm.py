@@ -23,9 +23,9 @@ from .shared import columns, small_batches, train_row
 BUCKETS, SAMPLE = 1 << 18, 20_000
 #: Terms in a model at most, and the association with the label that one needs (a likelihood ratio).
 TERMS, LEAST_G2, LEAST_ROWS = 2_048, 15.0, 4
-#: Terms among which pairs are sought (those tied to the label first, then the most evenly spread), what a pair must
+#: Terms among which pairs are sought: those tied most to the label, and as many of the most evenly spread; what a pair must
 #: add to either of its terms (a likelihood ratio, high as millions of pairs are tried), and terms that enter by pairs at most.
-PAIRED, LEAST_PAIR, BY_PAIRS = 2_048, 40.0, 256
+PAIRED, LEAST_PAIR, BY_PAIRS = 1_024, 40.0, 256
 #: Word beginnings that are terms, in characters.
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 300_000
@@ -183,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     tied = F.col("g2") >= LEAST_G2
     enough = seen.where((F.col("bucket") < BUCKETS) & (both >= LEAST_ROWS)).withColumn("g2", g2).select("bucket", "g2", (both * (n - both)).alias("spread"), tied.alias("tied"))
     first = enough.where("tied").orderBy(F.desc("g2"), "bucket").limit(TERMS).collect()
-    more = enough.where("not tied").orderBy(F.desc("spread"), "bucket").limit(max(PAIRED - len(first), 0)).collect()
-    column = {r.bucket: i for i, r in enumerate([*first, *more])}
+    more = enough.where("not tied").orderBy(F.desc("spread"), "bucket").limit(PAIRED).collect()
+    # The terms for pairs stand together: those tied most, then the balanced ones, whose room the tied ones never take.
+    at = min(len(first), PAIRED)
+    column = {r.bucket: i for i, r in enumerate([*first[at:], *first[:at], *more])}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(column)
@@ -195,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     found = texts.mapInArrow(pick, "y int, terms binary").toArrow()  # no more rows and terms than the bounds above
     pairs = sorted(zip(found.column("y").to_pylist(), found.column("terms").to_pylist()))
     rows, ys = [np.frombuffer(t, "<i4") for _, t in pairs], np.array([y for y, _ in pairs], float)
-    used = sorted({*range(len(first)), *paired_terms(rows, ys, len(column))})
+    apart = len(first) - at
+    sought = [r[r >= apart] - apart for r in rows]
+    used = sorted({*range(len(first)), *(apart + i for i in paired_terms(sought, ys, len(column) - apart))})
     at = np.full(len(column), -1)
     at[used] = np.arange(len(used))
     held = [at[r][at[r] >= 0] for r in rows]
