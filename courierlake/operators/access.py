@@ -55,9 +55,17 @@ def search_scope(user_id, users: DataFrame, roles: DataFrame, everything: str =
     return one.select(F.explode(F.map_keys("account_access")).alias("account_id"))
 
 
-def grant(users: DataFrame, accounts: DataFrame, role_id) -> DataFrame:
+#: Accounts of one request at most: each is an entry in the access map of every user of that request.
+MOST_GRANTED = 10_000
+
+
+def grant(users: DataFrame, accounts: DataFrame, role_id, most: int = MOST_GRANTED) -> DataFrame:
     """Users with a role in each of the accounts added to their access maps; an earlier role there is replaced.
-    The accounts of one request are gathered to a map; only their ids and the role are in it."""
-    given = accounts.select("account_id").distinct().agg(F.map_from_arrays(F.array_sort(F.collect_set("account_id")), F.transform(F.array_sort(F.collect_set("account_id")), lambda _: F.lit(role_id))).alias("__given"))
-    old = F.map_filter(F.coalesce("account_access", F.expr("cast(map() as map<bigint,bigint>)")), lambda k, _: ~F.map_contains_key("__given", k))
-    return users.crossJoin(F.broadcast(given)).withColumn("account_access", F.map_concat(old, "__given")).drop("__given")
+    The accounts are one row, which is broadcast: more than ``most`` are an error, as each of them becomes an entry of each user's map. Null
+    accounts are left out, repeated ones count once, and without any account the users stay as they are."""
+    few = accounts.select("account_id").where("account_id is not null").distinct().limit(most + 1)
+    ids = F.array_sort(F.collect_list("account_id"))
+    given = few.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} accounts in one request"))).otherwise(ids).alias("__ids"))
+    made = F.map_from_arrays("__ids", F.transform("__ids", lambda _: F.lit(role_id)))
+    old = F.map_filter(F.coalesce("account_access", F.expr("cast(map() as map<bigint,bigint>)")), lambda k, _: ~F.array_contains("__ids", k))
+    return users.crossJoin(F.broadcast(given)).withColumn("account_access", F.when(F.size("__ids") > 0, F.map_concat(old, made)).otherwise(F.col("account_access"))).drop("__ids")

@@ -96,11 +96,25 @@ def folder_paths(folders: DataFrame, most: int = 64) -> DataFrame:
 
 
 def folder_tree(names: DataFrame, delimiter: str = "/", name: str = "name") -> DataFrame:
-    """Every folder of a tree, parents that have no row of their own included, with its depth."""
+    """Every folder of a tree, parents that have no row of their own included, with its depth and ``sort_key``, by which
+    folders come in natural order, each before those below it."""
     parts = F.split(F.col(name), delimiter)
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), delimiter))
     nodes = names.select(F.col(name).alias("own"), F.explode(up).alias("path"))
-    return nodes.groupBy("path").agg(F.bool_or(F.col("own") == F.col("path")).alias("selectable")).select("path", (F.size(F.split("path", delimiter)) - 1).alias("depth"), "selectable")
+    return nodes.groupBy("path").agg(F.bool_or(F.col("own") == F.col("path")).alias("selectable")).select("path", (F.size(F.split("path", delimiter)) - 1).alias("depth"), "selectable", natural_key(F.col("path"), delimiter).alias("sort_key"))
+
+
+#: Digits that a number in a sort key is padded to.
+DIGITS = 20
+
+
+def natural_key(path: Column, delimiter: str = "/") -> Column:
+    """A key that sorts paths as people do: case doesn't count, ``a2`` comes before ``a10``, and a folder before those below it. Runs of digits
+    are padded with zeros after leading zeros are dropped; longer ones than ``DIGITS`` stay as they are. Levels are parted by a character below all others."""
+    plain = F.replace(F.lower(path), F.lit(delimiter), F.lit("\x01"))
+    parts = F.regexp_extract_all(plain, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(number(p), F.greatest(F.lit(DIGITS), F.length(number(p))), F.lit("0"))).otherwise(p)), "")
 
 
 def retain_in_mailbox(created: DataFrame, updated: DataFrame, members: DataFrame) -> DataFrame:

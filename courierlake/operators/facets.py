@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS
 from ..functions.text import facet_prefixes
+from ..session import settled
 from .filters import within
 
 
@@ -45,8 +46,11 @@ def day_histogram(df: DataFrame, start_ms: int, end_ms: int, column: str = "date
     and the last day that has any count zero."""
     day = (F.floor(F.col(column) / DAY_MS) * DAY_MS).cast("long")
     counts = df.where(F.col(column).between(start_ms, end_ms)).groupBy(day.alias("day_ms")).agg(F.count("*").alias("doc_count"))
-    if not fill:
-        return counts
+    return _filled_days(counts) if fill else counts
+
+
+def _filled_days(counts: DataFrame) -> DataFrame:
+    """Counts by day with a zero for each day between the first and the last one."""
     ends = counts.agg(F.min("day_ms").alias("a"), F.max("day_ms").alias("b")).where("a is not null")
     days = ends.select(F.explode(F.sequence("a", "b", F.lit(DAY_MS))).alias("day_ms"))
     return days.join(counts, "day_ms", "left").select("day_ms", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
@@ -68,27 +72,43 @@ def dashboard(df: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
 
 def dashboard_panels(df: DataFrame, accounts: DataFrame, now_ms: int, days: int = 30, n: int = 10) -> DataFrame:
     """A whole dashboard as rows of ``panel``, ``rank`` (from 1), ``key`` and ``value``: the totals, the messages of each
-    recent day with gaps filled, and the top senders, accounts with their addresses, and largest messages."""
-    figures = dashboard(df, now_ms, days)
-    totals = figures.select(F.explode(F.array(*(F.struct(F.lit("total").alias("panel"), F.lit(i).alias("rank"), F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for i, c in enumerate(figures.columns, 1)))).alias("x")).select("x.*")
+    recent day with gaps filled, and the top senders, accounts with their addresses, and largest messages.
+
+    Messages are read twice: once for the largest, and once for grouping sets of everything, recent days, senders and accounts, whose
+    counts are written to the shared folder and ranked from there. Of those sets only the top ``n`` are ever sorted.
+    """
+    since, count = now_ms - days * DAY_MS, F.col("regular_attachment_count")
+    recent = F.col("date").between(since, now_ms)
+    day = F.when(recent, (F.floor(F.col("date") / DAY_MS) * DAY_MS).cast("long"))
+    seen = df.select("sender", "account_id", day.alias("day"), "size", "date", count.alias("n"), recent.alias("recent"))
+    sets = seen.groupingSets([[], ["day"], ["sender"], ["account_id"]], "day", "sender", "account_id").agg(
+        F.grouping_id().alias("set"), F.count("*").alias("doc_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("n") >= 1).alias("with_attachment"),
+        F.count_if(F.col("n") < 1).alias("without_attachment"), F.count_if("recent").alias("recent"), F.max("date").alias("newest"),
+    )
+    sets = settled(sets)
+    of = lambda bits, key: sets.where(F.col("set") == bits).where(f"{key} is not null").select(key, "doc_count")  # noqa: E731  bits of the columns left out
+    totals = sets.where("set = 7").select(F.col("doc_count").alias("messages"), "bytes", "with_attachment", "without_attachment", "recent", "newest")
+    figures = totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("panel"), F.lit(i).alias("rank"), F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for i, c in enumerate(totals.columns, 1)))).alias("x")).select("x.*")
 
     def panel(name: str, rows: DataFrame, key: str, value: str, *order) -> DataFrame:
         """Rows that are few by construction, so that one task may rank them."""
         rank = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
         return rows.select(F.lit(name).alias("panel"), rank.alias("rank"), F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("value"))
 
-    day = day_histogram(df, now_ms - days * DAY_MS, now_ms)
-    largest = df.orderBy(F.desc("size"), "id").limit(n)
+    top = lambda bits, key: of(bits, key).orderBy(F.desc("doc_count"), key).limit(n)
+    first_accounts = top(6, "account_id").join(accounts.select("account_id", "email"), "account_id")
+    largest = df.select("id", "size").orderBy(F.desc("size"), "id").limit(n)
     return (
-        totals.union(panel("day", day, "day_ms", "doc_count", "day_ms")).union(panel("sender", top_terms(df, "sender", n), "sender", "doc_count", F.desc("doc_count"), "sender"))
-        .union(panel("account", top_accounts(df, accounts, n), "email", "doc_count", F.desc("doc_count"), "account_id")).union(panel("largest", largest, "id", "size", F.desc("size"), "id"))
+        figures.union(panel("day", _filled_days(of(3, "day").withColumnRenamed("day", "day_ms")), "day_ms", "doc_count", "day_ms")).union(panel("sender", top(5, "sender"), "sender", "doc_count", F.desc("doc_count"), "sender"))
+        .union(panel("account", first_accounts, "email", "doc_count", F.desc("doc_count"), "account_id")).union(panel("largest", largest, "id", "size", F.desc("size"), "id"))
     )
 
 
 def facet_tree(df: DataFrame, tags: str = "tags", key: str = "id") -> DataFrame:
-    """Rows under each node of the tree of tags, ancestors included, in the order of paths."""
-    nodes = df.select(F.col(key).alias("k"), F.explode(facet_prefixes(F.col(tags))).alias("path"))
-    return nodes.groupBy("path").agg(F.count_distinct("k").alias("doc_count")).orderBy("path")
+    """Rows under each node of the tree of tags, ancestors included, in the order of paths. A row counts once for a path, however many of its
+    tags lie below; ``key`` is that of rows, so counts are summed before the one shuffle."""
+    nodes = df.where(F.col(key).isNotNull()).select(F.explode(facet_prefixes(F.col(tags))).alias("path"))
+    return nodes.groupBy("path").agg(F.count("*").alias("doc_count")).orderBy("path")
 
 
 def attachment_metadata(df: DataFrame, columns=("attachment_ext", "attachment_category", "attachment_content_type"), most: int = 1000) -> DataFrame:

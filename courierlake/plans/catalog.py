@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import field_queries, search_queries, table_queries  # noqa: F401  they register their queries
+from . import field_queries, ingest_queries, search_queries, table_queries  # noqa: F401  they register their queries
 from .registry import FOUND, SQL
 
 

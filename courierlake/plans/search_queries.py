@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import access, filters, search
 from ..operators.filters import AttachmentFilter, FilterRule, MessageFilter
 from .registry import query
-from .tables import accounts, attachments, messages, ms, read, text_terms, texts
+from .tables import accounts, attachments, messages, ms, read, stored_messages, text_terms, texts
 
 JAN_96, JAN_97 = 820454400000, 852076800000
 M = "with {m} select id from messages where "
@@ -17,6 +17,11 @@ A = "with {a} select id from attachments where "
 BETWEEN = f"between {JAN_96} and {JAN_97}"
 
 
+def placed(page):
+    """A page with the place of each row, as the page itself has them in order."""
+    return page.withColumn("__at", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(Window.orderBy("__at"))).drop("__at")
+
+
 def hits(df, what, scope=None):
     return df.where(what.column(scope)).select("id")
 
@@ -63,17 +68,17 @@ def _(spark, d):
 
 @query("f13_date_range", M + f"date {BETWEEN}")
 def _(spark, d):
-    return hits(messages(spark, d), MessageFilter(since=JAN_96, before=JAN_97))
+    return stored_messages(spark, d, MessageFilter(since=JAN_96, before=JAN_97)).select("id")
 
 
 @query("f14_internal_date_range", M + f"internal_date {BETWEEN}")
 def _(spark, d):
-    return hits(messages(spark, d), MessageFilter(internal_date_since=JAN_96, internal_date_before=JAN_97))
+    return stored_messages(spark, d, MessageFilter(internal_date_since=JAN_96, internal_date_before=JAN_97)).select("id")
 
 
 @query("f15_ingest_range", M + f"ingest_at {BETWEEN}")
 def _(spark, d):
-    return hits(messages(spark, d), MessageFilter(ingest_since=JAN_96, ingest_before=JAN_97))
+    return stored_messages(spark, d, MessageFilter(ingest_since=JAN_96, ingest_before=JAN_97)).select("id")
 
 
 @query("f16_f17_accounts_and_mailboxes", M + "account_id in (3, 5, 7) and mailbox_id = 'F'")
@@ -289,24 +294,24 @@ def _(spark, d):
     return messages(spark, d).select("id", F.explode(X.facet_prefixes(F.col("tags"))).alias("path"))
 
 
-@query("o01_sort_by_size", "with {m} select id, size from messages order by size, id limit 50")
+@query("o01_sort_by_size", "with {m} select cast(row_number() over (order by size, id) as integer) as position, id, size from messages order by size, id limit 50")
 def _(spark, d):
-    return search.search(messages(spark, d), MessageFilter(), sort_by="SIZE", descending=False, size=50).select("id", "size")
+    return placed(search.search(messages(spark, d), MessageFilter(), sort_by="SIZE", descending=False, size=50).select("id", "size"))
 
 
-@query("o01_sort_by_internal_date", "with {m} select id, internal_date from messages where account_id = 3 order by internal_date desc, id limit 20")
+@query("o01_sort_by_internal_date", "with {m} select cast(row_number() over (order by internal_date desc, id) as integer) as position, id, internal_date from messages where account_id = 3 order by internal_date desc, id limit 20")
 def _(spark, d):
-    return search.search(messages(spark, d), MessageFilter(account_ids=(3,)), sort_by="INTERNAL_DATE").select("id", "internal_date")
+    return placed(search.search(messages(spark, d), MessageFilter(account_ids=(3,)), sort_by="INTERNAL_DATE").select("id", "internal_date"))
 
 
-@query("o02_relevance_without_text", "with {m} select id from messages order by date desc, id limit 20")
+@query("o02_relevance_without_text", "with {m} select cast(row_number() over (order by date desc, id) as integer) as position, id from messages order by date desc, id limit 20")
 def _(spark, d):
-    return search.search(messages(spark, d), MessageFilter(), sort_by="RELEVANCE").select("id")
+    return placed(search.search(messages(spark, d), MessageFilter(), sort_by="RELEVANCE").select("id"))
 
 
-@query("o03_attachments_by_internal_date", "with {a} select id, date from attachments order by date desc, id limit 20")
+@query("o03_attachments_by_internal_date", "with {a} select cast(row_number() over (order by date desc, id) as integer) as position, id, date from attachments order by date desc, id limit 20")
 def _(spark, d):
-    return search.search(attachments(spark, d), AttachmentFilter(), sort_by="INTERNAL_DATE").select("id", "date")
+    return placed(search.search(attachments(spark, d), AttachmentFilter(), sort_by="INTERNAL_DATE").select("id", "date"))
 
 
 @query("o04_page_info", "with {m} select 3 as current_page, 25 as page_size, count(*) as total_items, cast(ceil(count(*) / 25.0) as bigint) as total_pages from messages where account_id = 5")
@@ -314,20 +319,20 @@ def _(spark, d):
     return search.page_info(messages(spark, d).where("account_id = 5"), 3, 25)
 
 
-@query("thread_page", "select conv_id, turn, role from conversations where conv_id = 3")
+@query("thread_page", "select cast(row_number() over (order by turn desc) as integer) as position, conv_id, turn, role from conversations where conv_id = 3")
 def _(spark, d):
     c = read(spark, d, "conversations").withColumn("account_id", F.lit(1)).withColumn("id", F.col("turn")).withColumn("date", F.col("turn")).withColumn("thread_id", F.col("conv_id"))
-    return search.thread(c, 1, 3).select("conv_id", "turn", "role")
+    return placed(search.thread(c, 1, 3).select("conv_id", "turn", "role"))
 
 
-@query("o06_largest_messages", "with {m} select id, size from messages order by size desc, id limit 10")
+@query("o06_largest_messages", "with {m} select cast(row_number() over (order by size desc, id) as integer) as position, id, size from messages order by size desc, id limit 10")
 def _(spark, d):
-    return search.sorted_page(messages(spark, d), "size", 1, 10).select("id", "size")
+    return placed(search.sorted_page(messages(spark, d), "size", 1, 10).select("id", "size"))
 
 
-@query("o07_o08_key_page", "select n_nationkey, n_name from nation order by cast(n_nationkey as varchar) limit 5 offset 10")
+@query("o07_o08_key_page", "select cast(row_number() over (order by cast(n_nationkey as varchar)) - 10 as integer) as position, n_nationkey, n_name from nation order by cast(n_nationkey as varchar) limit 5 offset 10")
 def _(spark, d):
-    return search.key_page(read(spark, d, "nation").select("n_nationkey", "n_name"), F.col("n_nationkey"), 3, 5)
+    return placed(search.key_page(read(spark, d, "nation").select("n_nationkey", "n_name"), F.col("n_nationkey"), 3, 5))
 
 
 @query("o09_account_list", "select c_custkey as id, epoch_ms(timestamp '2024-01-01') + c_custkey % 7 as created_at from customer")

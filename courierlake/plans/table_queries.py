@@ -11,7 +11,7 @@ from ..sources import mail
 from ..sources.mail import detect_format, detect_text_file
 from ..streaming import ingest
 from .registry import query
-from .search_queries import JAN_96, JAN_97
+from .search_queries import JAN_96, JAN_97, placed
 from .tables import accounts, attachments, messages, ms, read, texts
 
 DAY = 86_400_000
@@ -343,7 +343,16 @@ def _(spark, d):
 @query("j18_folder_tree", """with f as (select distinct 'root/' || p_brand || '/' || p_type as name from part), p as (select name, string_split(name, '/') as l from f)
   select array_to_string(l[1:i], '/') as path, cast(max(i) - 1 as int) as depth, bool_or(i = len(l)) as selectable from p, lateral (select unnest(range(1, len(l) + 1)) as i) group by 1""")
 def _(spark, d):
-    return entities.folder_tree(read(spark, d, "part").select(F.concat(F.lit("root/"), "p_brand", F.lit("/"), "p_type").alias("name")).distinct())
+    tree = entities.folder_tree(read(spark, d, "part").select(F.concat(F.lit("root/"), "p_brand", F.lit("/"), "p_type").alias("name")).distinct())
+    return tree.drop("sort_key")
+
+
+@query("j18_natural_order", """with p as (select distinct p_size as n, p_brand as b from part), f as (select 'Box' || n as path, n, '' as b from p union select 'Box' || n || '/' || b, n, b from p)
+  select cast(row_number() over (order by n, cast(nullif(substr(b, 7), '') as integer) nulls first) as integer) as position, path from f""")
+def _(spark, d):
+    """Folders as people sort them: Box2 and what lies below it before Box10."""
+    names = read(spark, d, "part").select(F.concat(F.lit("Box"), "p_size", F.lit("/"), "p_brand").alias("name")).distinct()
+    return placed(entities.folder_tree(names).orderBy("sort_key")).select("position", "path")
 
 
 @query("p02_snapshot", "with {m} select message_id, uid, size, internal_date from messages where account_id = 7 and mailbox_id = 'O' and message_id <> ''")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import terms
+from ..operators import layout, terms
 from ..session import new_dir
 
 MESSAGES_SQL = """messages as (select o_orderkey as id, o_custkey % 40 as account_id, o_orderstatus as mailbox_id, o_orderkey as uid,
@@ -84,3 +84,13 @@ def text_terms(spark: SparkSession, sf_dir: str) -> terms.TermIndex:
     """The stored terms of ``texts``: words of subject and body, grams of the subject."""
     rows = lambda: terms.term_rows(texts(spark, sf_dir), ["subject", "body"], ["subject"])
     return terms.TermIndex(spark, once(spark, sf_dir, "terms", lambda path: terms.write(rows(), path, "overwrite")))
+
+
+#: Days in a folder of the stored messages: the tables are small.
+DAYS = 60
+
+
+def stored_messages(spark: SparkSession, sf_dir: str, what, accounts=None) -> DataFrame:
+    """The hits of a filter among the messages stored by time."""
+    path = once(spark, sf_dir, "messages", lambda path: layout.write_by_day(messages(spark, sf_dir), path, DAYS))
+    return layout.read_by_day(spark, path, what, accounts, DAYS)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -69,9 +69,12 @@ def for_first_recipient(messages: DataFrame, accounts: DataFrame, message: str =
     return messages.withColumn("__to", to).join(own, "__to").drop("__to").withColumn("mailbox_id", F.lit("INBOX"))
 
 
-def read_base64(df: DataFrame, column: str = "eml") -> DataFrame:
-    """A batch of messages in base64, each with the number counted from the end, as batches are taken from there."""
+def read_base64(df: DataFrame, column: str = "eml", batch: str | None = None, at: str | None = None) -> DataFrame:
+    """Messages in base64 with ``raw`` and ``message``; what isn't base64 has neither. With the columns ``batch`` and ``at`` (the place of a message in its
+    batch, which one request sends and one task numbers) also ``from_end``: 1 for the last of a batch, as batches are taken from there."""
     raw = F.try_to_binary(column, F.lit("base64"))
+    if batch and at:
+        df = df.withColumn("from_end", F.row_number().over(Window.partitionBy(batch).orderBy(F.desc(at))))
     return df.withColumn("raw", raw).withColumn("message", F.when(raw.isNotNull(), parse_message(raw)))
 
 

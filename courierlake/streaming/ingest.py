@@ -19,6 +19,16 @@ def first_copies(messages: DataFrame, within: str = "7 days", key=KEY, time: str
     return messages.withWatermark(time, within).dropDuplicatesWithinWatermark(list(key))
 
 
+def first_copies_after(stream: DataFrame, stored: DataFrame, within: str = "7 days", key=KEY, time: str = "ingest_ts") -> DataFrame:
+    """``first_copies`` of a stream without those that a stored table has: a start on a filled table lets nothing through that is there.
+
+    ``stored`` is the caller's choice of rows (as those of the last days). Its keys are a side of a join that each micro-batch reads as it is then; the
+    stream's own keys are state, dropped behind the watermark and kept by the checkpoint over restarts. Keys with a null part are never
+    equal to stored ones.
+    """
+    return first_copies(stream, within, key, time).join(stored.select(*key).distinct(), list(key), "left_anti").select(*stream.columns)
+
+
 def start(stream: DataFrame, write, checkpoint: str, every: str | None = None):
     """Runs ``write(batch, number)`` for each micro-batch: at an interval, or once over what is there."""
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
