@@ -91,12 +91,12 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
                 text = texts[i] or b""
                 lines = text.count(b"\n") + 1
                 n_lines.append(lines)
-                if gone:
+                if gone and texts[i] is not None:
                     lost = set(gone)
                     kept = [line for line, h in zip(text.split(b"\n"), key_hashes(text, least_chars)) if h is None or h not in lost]
                     texts[i] = b"\n".join(kept)
                     lines -= len(kept)
-                n_dropped.append(lines if gone else 0)
+                n_dropped.append(lines if gone and texts[i] is not None else 0)
             cols = [batch.column(j) for j in range(len(names))]
             cols[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(cols[at].type)
             if "n_chars" in names:

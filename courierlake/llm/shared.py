@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlake.session import ship
+from courierlake.session import new_dir, settled, shared_dir, ship  # noqa: F401  the operators take them from here
 
 #: Words are maximal runs of bytes outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,34 +19,6 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 BROADCAST_IDS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place; a cluster without it is refused.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="courierlake-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_dir(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that it is computed once and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def apart(key: str) -> Column:
     """An expression of a whole-number key to join by. An aggregation joined by its own key keeps its partitions,
     so a hot key stays in one task; by an expression both sides get exchanges, whose hot partitions adaptive
