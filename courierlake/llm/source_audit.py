@@ -25,8 +25,8 @@ LEAST_DOCS, TOP = 10, 10
 UNIT = 1_000_000_000
 #: Bits of a digit of the selection, and pairs of sources that a task sums at once.
 DIGIT, PAIRS = 8, 1 << 20
-#: Terms of its groups that a task holds before it sends their counts on.
-HELD = 200_000
+#: Terms of its groups that a task holds before it sends their counts on, and what stands for a document next to occurrences.
+HELD, ONE_DOC = 500_000, 1 << 40
 #: Letters in lower case and bytes of characters beyond ASCII stay, all else parts terms.
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -38,29 +38,26 @@ def term_counts(docs: DataFrame) -> DataFrame:
     them. Each group also has a row with the empty term, whose counts are zero. Null texts, languages and sources are empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[tuple, Counter] = {}
-        docs: dict[tuple, Counter] = {}
+        found: dict[tuple, dict[bytes, int]] = {}  # a number holds occurrences and, above them, documents
 
-        def flush() -> pa.RecordBatch:
-            rows = [(*g, t.decode(), c, docs[g][t]) for g, terms in n.items() for t, c in terms.items()]
-            n.clear()
-            docs.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "source", "term", "n", "docs"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, terms in found.items():
+                n = np.fromiter(terms.values(), np.int64, len(terms))
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in group]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(n % ONE_DOC), pa.array(n // ONE_DOC)], names=["lang", "source", "term", "n", "docs"])
+            found.clear()
 
         for batch in batches:
             for lang, source, text in zip(*columns(batch, "lang", "source", "text")):
-                group = lang, source
-                if group not in n:
-                    n[group], docs[group] = Counter({b"": 0}), Counter()
                 terms = Counter(text.translate(_TERM).split(b" "))
                 del terms[b""]
-                n[group].update(terms)
-                docs[group].update(terms.keys())
-            if sum(map(len, n.values())) > HELD:
-                yield flush()
-        if n:
-            yield flush()
+                held = found.setdefault((lang, source), {b"": 0})
+                of = held.get
+                for t, c in terms.items():
+                    held[t] = of(t, 0) + ONE_DOC + c
+            if sum(map(len, found.values())) > HELD:
+                yield from flush()
+        yield from flush()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
