@@ -35,7 +35,7 @@ def _list(field: str) -> Column:
 
 def _found(field: str, made) -> Column:
     """Arrays of terms: one for a text, one for each value of a list."""
-    return F.transform(_list(field), made) if field in LISTS else F.array(made(F.col(field)))
+    return F.transform(_list(field), lambda v: made(v)) if field in LISTS else F.array(made(F.col(field)))
 
 
 def term_rows(df: DataFrame, fields: Collection[str] = MESSAGE_FIELDS, fuzzy: Collection[str] = MESSAGE_FUZZY, key: str = "id", account: str = "account_id") -> DataFrame:
