@@ -125,3 +125,28 @@ def test_url_rules_and_models(spark):
     assert url_markov.judge(pages(spark, rows)).count() == len(rows) and url_markov.judge(pages(spark, [])).count() == 0
     alone = url_markov.judge(pages(spark, [(1, "http://q.info/", None, "")])).collect()
     assert alone[0].verdict == "allow"
+
+
+def test_pairs_have_room_beside_many_tied_terms(spark):
+    """Half the rows are toxic just where two words are both there or both absent; thousands of other words tell about the other half."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from courierlake.llm import shared, toxicity_fm
+
+    r, rows = random.Random(3), []
+    for i in range(6000):
+        words = [f"noise{r.randrange(400)}" for _ in range(12)]
+        if i % 2:
+            a, b = r.random() < 0.5, r.random() < 0.5
+            y, words = int(a == b), words + ["insultword"] * a + ["groupword"] * b
+        else:
+            y = r.randrange(2)
+            words += [f"{'tox' if y else 'fine'}{r.randrange(1500)}" for _ in range(40)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity_fm.fit(docs, docs.select("doc_id", F.col("y").alias("toxic")))
+    held = toxicity_fm.score(docs, model).join(docs, "doc_id").where(shared.held_out()).where("doc_id % 2 = 1")
+    assert len(model.column) > 2_048 and held.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double"))).first()[0] >= 0.95
