@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pages
 from ..functions import scalars as C
 from ..operators import access, entities, filters, maintain, rebuild
 from ..session import new_dir
@@ -172,3 +173,17 @@ def _(spark, d):
 def _(spark, d):
     state = F.when(filters.retention_expired(JAN_96), "expired").otherwise("kept")
     return messages(spark, d).select("id", state.alias("state"), C.preview(F.col("sender"), 10).alias("shown"))
+
+
+_STRIPPED = "html"
+for _pattern, _stays in (("(?is)<head\\b.*?</head>", ""), ("(?is)<script\\b.*?</script>", ""), ("(?is)<style\\b.*?</style>", ""), ("(?s)<!--.*?-->", ""), ("(?i)<li\\b[^>]*>", " * "), ("(?i)<h1\\b[^>]*>", " # "), ("(?i)<h2\\b[^>]*>", " ## "), ("(?i)</?(a|b|i|em|strong|span|code)\\b[^>]*>", ""), ("<[^>]*>", " ")):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', '{_stays}', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'\\'"), ("&amp;", "&")):
+    _STRIPPED = f"replace({_STRIPPED}, '{_name}', '{_char.replace(chr(92), '')}')"
+
+
+@query("c07_c08_body_text", "select page_id, md5(trim(regexp_replace(case when page_id % 3 = 0 then '  ' || coalesce(url, '') || chr(10) || ' text ' else " + _STRIPPED + " end, '\\s+', ' ', 'g'))) as body from pages")
+def _(spark, d):
+    """The text part where there is one, else the readable text of the page."""
+    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("  "), F.coalesce("url", F.lit("")), F.lit("\n text ")))
+    return read(spark, d, "pages").select("page_id", F.md5(pages.body_text(text, F.col("html"))).alias("body"))
