@@ -132,6 +132,12 @@ def message_ids(messages: DataFrame, account, mailbox) -> DataFrame:
     return messages.where((F.col("account_id") == account) & (F.col("mailbox_id") == mailbox) & (F.col("message_id") != "")).select("message_id").distinct()
 
 
+def minimal_accounts(accounts: DataFrame, syncable: bool = False) -> DataFrame:
+    """Ids and addresses; ``syncable``: without accounts of the type ``NoSync``. An account without a type is fetched."""
+    held = accounts.where(F.coalesce("account_type", F.lit("")) != "NoSync") if syncable else accounts
+    return held.select("account_id", "email")
+
+
 def by_id(df: DataFrame, account, key) -> DataFrame:
     return df.where((F.col("account_id") == account) & (F.col("id") == key)).limit(1)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pages
+from ..functions import mime, pages
 from ..functions import scalars as C
-from ..operators import access, entities, filters, maintain, rebuild
+from ..operators import access, entities, filters, maintain, rebuild, search
 from ..session import new_dir
 from ..sources import mail
 from ..streaming import audit, ingest
@@ -187,3 +187,88 @@ def _(spark, d):
     """The text part where there is one, else the readable text of the page."""
     text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("  "), F.coalesce("url", F.lit("")), F.lit("\n text ")))
     return read(spark, d, "pages").select("page_id", F.md5(pages.body_text(text, F.col("html"))).alias("body"))
+
+
+def _case(column: str, n: int, values: list[str]) -> str:
+    return f"case {column} % {n} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+@query("s10_detect_varied", "select doc_id, " + _case("doc_id", 9, ["'pst'", "'mbox'", "'eml'", "'eml'", "'mbox'", "'pst'", "null", "'eml'", "null"]) + " as format from documents")
+def _(spark, d):
+    """Documents behind the beginnings of each format, and under names that tell where the beginning doesn't."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 9
+    heads = {1: "From a@example.com Mon Jan  1 00:00:00 2024\n", 2: "Received: by x\n", 3: "> ", 4: "> ", 5: "> ", 6: "From here to there\n", 7: "Message-ID: <a>\n", 8: "> "}
+    content = F.when(k == 0, F.concat(F.lit(mail.PST_MAGIC), text.cast("binary")))
+    for i, head in heads.items():
+        content = F.when(k == i, F.concat(F.lit(head), text).cast("binary")).otherwise(content)
+    name = F.element_at(F.array(*map(F.lit, ["a.eml", "a.eml", "a.pst", "A.EML", "b.MBOX", "c.pst", "d.txt", "e.mbox", "eml"])), (k + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", mail.detect_format(content, name).alias("format"))
+
+
+@query("s11_detect_binary", "select doc_id, " + _case("doc_id", 5, ["text <> ''", "false", "false", "text <> ''", "false"]).replace("text", "coalesce(text, '')") + " as is_text from documents")
+def _(spark, d):
+    """Documents as they are, behind a zero byte, as ill-formed bytes, behind a byte order of their own, and behind control characters."""
+    k, text = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    noise = F.when(k == 2, F.unhex(F.repeat(F.lit("FF"), 9000))).when(k == 4, F.concat(F.repeat(F.decode(F.unhex(F.lit("01")), "UTF-8"), 2000), F.substring(text, 1, 100)).cast("binary"))
+    content = F.when(k == 1, F.concat(F.unhex(F.lit("00")), text.cast("binary"))).when(k.isin(2, 4), noise).otherwise(text.cast("binary"))
+    return read(spark, d, "documents").select("doc_id", mail.detect_text_file(content).alias("is_text"))
+
+
+_NAMES = [("photo{0}.JPG", "jpg", "image"), ("notes{0}", None, "text"), ("archive{0}.tar.gz", "gz", "archive"), (".profile{0}", None, "other"), ("dir.d/plain{0}", None, "document"), ("mail{0}.eml", "eml", "message"), ("x{0}.", "", "video"), ("tab{0}.csv", "csv", "spreadsheet"), ("c{0}.CDR", "cdr", "graphics_2d"), ("s{0}.rs", "rs", "code"), ("e{0}.ICS", "ics", "event")]
+_TYPES = ["application/zip", "text/plain", "image/png", "application/octet-stream", "application/MSWORD", "x/y", "video/mp4", "x/y", "x/y", "x/y", "x/y"]
+
+
+def _or_null(x: str | None) -> str:
+    return "null" if x is None else f"'{x}'"
+
+
+@query("c10_c11_names", "select p_partkey, " + _case("p_partkey", 11, [_or_null(e) for _, e, _ in _NAMES]) + " as ext, " + _case("p_partkey", 11, [_or_null(c) for _, _, c in _NAMES]) + " as category from part")
+def _(spark, d):
+    """Names of many shapes, and media types where the name doesn't tell."""
+    k, at = F.col("p_partkey"), (F.col("p_partkey") % 11 + 1).cast("int")
+    name = F.replace(F.element_at(F.array(*(F.lit(n) for n, _, _ in _NAMES)), at), F.lit("{0}"), k.cast("string"))
+    return read(spark, d, "part").select("p_partkey", C.extension(name).alias("ext"), C.category(name, F.element_at(F.array(*map(F.lit, _TYPES)), at)).alias("category"))
+
+
+@query("c12_c13_varied", "select doc_id, " + _case("doc_id", 4, ["left(coalesce(text, ''), 20)", "'Re: ' || lang", "left(coalesce(text, ''), 20) || ' and ' || coalesce(source, '')", "'x=?broken?= ' || doc_id"]).replace("left(coalesce(text, ''), 20)", "replace(left(coalesce(text, ''), 20), chr(10), ' ')") + " as subject from documents")
+def _(spark, d):
+    """Subjects of documents' first words in encoded words of two kinds, plain ones, and such as can't be decoded."""
+    k, text = F.col("doc_id") % 4, F.replace(F.substring(F.coalesce("text", F.lit("")), 1, 20), F.lit("\n"), F.lit(" "))
+    b64 = F.concat(F.lit("=?UTF-8?B?"), F.base64(text.cast("binary")), F.lit("?="))
+    quoted = F.concat(F.lit("=?utf-8?Q?"), F.regexp_replace(F.hex(text.cast("binary")), "(..)", "=$1"), F.lit("?= =?utf-8?q?_and_?= =?utf-8?b?"), F.base64(F.coalesce("source", F.lit("")).cast("binary")), F.lit("?="))
+    raw = F.when(k == 0, F.when(text == "", "").otherwise(b64)).when(k == 1, F.concat(F.lit("Re: "), "lang")).when(k == 2, quoted).otherwise(F.concat(F.lit("x=?broken?= "), F.col("doc_id").cast("string")))
+    return read(spark, d, "documents").select("doc_id", mime.header_text(raw).alias("subject"))
+
+
+@query("c14_varied", """select conv_id, turn, role || turn || '@example.com' as sender, 'Turn ' || turn as subject, sha256(encode(text)) as body, case when turn % 3 = 0 then 0 else turn % 3 end as files,
+  case when turn % 3 > 0 then sha256(encode(role || ' 1')) end as attachment_hash, case when turn % 2 = 0 then 1704067200000 + turn * 1000 end as date_ms from conversations""")
+def _(spark, d):
+    """Messages around the texts of turns, with none, one or two attachments, with and without dates."""
+    turn, n = F.col("turn").cast("string"), (F.col("turn") % 3).cast("int")
+    part = lambda i: F.when(n >= i, F.concat(F.lit(f"--B\r\nContent-Type: application/x-y; name=f{i}\r\nContent-Disposition: attachment; filename=f{i}.bin\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.concat(F.col("role"), F.lit(f" {i}")).cast("binary")), F.lit("\r\n"))).otherwise("")
+    date = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Date: "), F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn")), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000\r\n"))).otherwise("")
+    body = F.concat(F.lit("--B\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.col("text").cast("binary")), F.lit("\r\n"))
+    raw = F.concat(F.lit("From: Some One <"), F.col("role"), turn, F.lit("@Example.com>\r\n"), date, F.lit("Subject: Turn "), turn, F.lit("\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n"), body, part(1), part(2), F.lit("--B--\r\n"))
+    m = read(spark, d, "conversations").select("conv_id", "turn", mime.parse_message(raw.cast("binary")).alias("m"))
+    return m.select("conv_id", "turn", "m.sender", "m.subject", F.sha2("m.body", 256).alias("body"), F.size("m.attachments").alias("files"), F.get("m.attachments", F.lit(0))["content_hash"].alias("attachment_hash"), "m.date_ms")
+
+
+@query("c19_labels_varied", "select p_partkey, " + _case("p_partkey", 6, ["'Inbox'", "p_brand", "'Unread'", "'Unknown'", "'Gesendet'", "p_brand"]) + " as folder from part")
+def _(spark, d):
+    k, brand = F.col("p_partkey") % 6, F.col("p_brand")
+    labels = F.when(k == 0, "Inbox, Opened,Sent").when(k == 1, F.concat(F.lit("Unread, Posteingang ,"), brand)).when(k == 2, "Unread,Opened").when(k == 3, " ,").when(k == 4, "Gesendet, Archiviert").otherwise(F.concat(brand, F.lit(",Inbox,Открытые")))
+    return read(spark, d, "part").select("p_partkey", C.folder_of_labels(labels).alias("folder"))
+
+
+@query("p05_syncable_accounts", "with {c} select account_id, email from accounts where created_by % 3 <> 1")
+def _(spark, d):
+    """Accounts in short, without those that nothing fetches."""
+    held = accounts(spark, d).withColumn("account_type", F.when(F.col("created_by") % 3 == 1, "NoSync").otherwise("IMAP"))
+    return entities.minimal_accounts(held, syncable=True)
+
+
+@query("f40_mailbox_or_thread", "with {m} select id, account_id = 7 and mailbox_id = 'O' as in_mailbox from messages where account_id = 7 and (mailbox_id = 'O' or thread_id = 47)")
+def _(spark, d):
+    m = messages(spark, d)
+    box, thread = m.where(filters.MessageFilter(account_ids=(7,), mailbox_ids=("O",)).column()), search.thread(m, 7, 47)
+    return box.select("id", F.lit(True).alias("in_mailbox")).union(thread.where("mailbox_id != 'O'").select("id", F.lit(False)))
