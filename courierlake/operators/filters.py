@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,7 +192,7 @@ def valid_pattern(pattern: str) -> bool:
     """Whether a pattern compiles in the class by which Spark matches; no job is run."""
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:  # PatternSyntaxException is one
         return False
     return True
 

@@ -34,7 +34,7 @@ def test_grams(spark):
 
 
 def match(spark, doc, query):
-    return one(spark, text.fuzzy_match([text.grams(F.col("s"))], query), s=doc)
+    return one(spark, text.fuzzy_match([text.gram_text(F.col("s"))], query), s=doc)
 
 
 def test_fuzzy(spark):
