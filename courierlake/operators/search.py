@@ -128,9 +128,13 @@ def key_page(df: DataFrame, key: Column, page: int | None = None, size: int | No
     return out if page is None or size is None else out.offset((page - 1) * size).limit(size)
 
 
-def account_list(df: DataFrame, admin: bool, descending: bool | None = None) -> DataFrame:
+def account_list(df: DataFrame, admin: bool, descending: bool | None = None, page: int | None = None, size: int | None = None) -> DataFrame:
     """Accounts as an administrator sees them, by key and ascending unless asked otherwise, or as others do, by
-    creation and descending unless asked otherwise."""
+    creation and descending unless asked otherwise. Equal times go by id; everything if no page is asked for."""
     down = (not admin) if descending is None else descending
     key = F.col("id").cast("string") if admin else F.col("created_at")
-    return df.orderBy(key.desc() if down else key.asc(), "id")
+    out = df.orderBy(key.desc() if down else key.asc(), "id")
+    if page is None or size is None:
+        return out
+    offset, limit = page_bounds(page, size)
+    return out.offset(offset).limit(limit)

@@ -339,3 +339,28 @@ def _(spark, d):
 def _(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.lit(1704067200000) + F.col("c_custkey") % 7).alias("created_at"))
     return search.account_list(c, admin=False)
+
+
+@query("o09_account_page_admin", "select cast(row_number() over (order by cast(c_custkey as varchar)) as integer) - 50 as position, c_custkey as id from customer order by cast(c_custkey as varchar) limit 50 offset 50")
+def _(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).alias("created_at"))
+    return placed(search.account_list(c, admin=True, page=2, size=50)).select("position", "id")
+
+
+@query("o09_account_page_user", "select cast(row_number() over (order by c_custkey % 7 desc, c_custkey) as integer) - 50 as position, c_custkey as id from customer order by c_custkey % 7 desc, c_custkey limit 50 offset 50")
+def _(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7).alias("created_at"))
+    return placed(search.account_list(c, admin=False, page=2, size=50)).select("position", "id")
+
+
+@query("s04_key_page", "select cast(row_number() over (order by c_name desc) as integer) - 20 as position, c_name as key, c_custkey as value from customer order by c_name desc limit 20 offset 20")
+def _(spark, d):
+    """A page of the keys of a store from the end."""
+    c = read(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
+    return placed(search.key_page(c, F.col("key"), 2, 20, descending=True)).select("position", "key", "value")
+
+
+@query("search_page_placed", "select cast(row_number() over (order by o_orderdate desc, o_orderkey) as integer) - 20 as position, o_orderkey as id from orders order by o_orderdate desc, o_orderkey limit 20 offset 20")
+def _(spark, d):
+    """The page of ``search_page_date`` with the place of each row."""
+    return placed(search.search(messages(spark, d), MessageFilter(), page=2, size=20)).select("position", "id")
