@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is an aggregation (whose partial sums absorb hubs) and an equi-join (whose hot keys adaptive
-execution splits). No adjacency list is ever gathered in a row, a task or the driver.
+execution splits). No adjacency list is ever gathered in a row, a task or the driver. A round's edges are written to the
+shared folder and read again: a checkpoint would carry the estimated size on, to its fourth power in each round,
+and such numbers come to fill the driver's memory.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart, settled
+from courierlake.session import remove
+
+from .shared import apart, new_dir, settled
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,13 +39,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``rounds`` only guards against endless work: rounds grow with the logarithm of the node count and
     the call raises if they don't suffice.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    now = settled(now)
-    said = None
+    spark, last, said = edges.sparkSession, None, None
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal last
+        df.write.parquet(path := new_dir(spark, "edges"))
+        if last:
+            remove(spark, last)
+        last = path
+        return spark.read.schema("a long, b long").parquet(path)
+
+    now = written(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct())
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()
         if tuple(mark) == said or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+            found = settled(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()))
+            remove(spark, last)
+            return found
         said = tuple(mark)
-        now = settled(_small(_large(now).where("a > b").distinct()).distinct())
+        now = written(_small(_large(now).where("a > b").distinct()).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

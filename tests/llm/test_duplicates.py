@@ -36,6 +36,16 @@ def test_components(spark):
     assert connected_components(df.where("a < 0")).count() == 0
 
 
+def test_rounds_of_components_keep_sizes_small(spark):
+    """The estimated size of the edges must not grow with the rounds: to its fourth power in each it filled the driver's memory."""
+    ids = list(range(400))
+    random.Random(4).shuffle(ids)
+    found = connected_components(spark.createDataFrame(list(zip(ids[1:], ids[:-1])), "a long, b long"))
+    assert sorted((x.node, x.component) for x in found.collect()) == [(i, 0) for i in range(400)]
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1 << 200
+
+
 def plain_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\x0b", " ").replace("\x0c", " ").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     words = [w for w in words if w]
