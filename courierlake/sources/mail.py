@@ -38,12 +38,12 @@ def detect_format(content: Column, name: Column) -> Column:
 
 def looks_like_text(data: bytes) -> bool:
     """Whether the first 8 KiB are text: no zero byte, and nine of ten characters are printable. An ill-formed
-    byte counts as a character that isn't."""
+    byte counts as a character that isn't, a replacement character that is written out as one that is."""
     head = data[:8192]
     if not head or 0 in head:
         return False
-    chars = head.decode("utf-8", "replace")
-    fine = sum(c != "�" and (c >= " " and c != "\x7f" or c in "\t\n\r\f\x1b") for c in chars)
+    chars = head.decode("utf-8", "surrogateescape")
+    fine = sum(not "\udc80" <= c <= "\udcff" and (c >= " " and c != "\x7f" or c in "\t\n\r\f\x1b") for c in chars)
     return fine >= 0.9 * len(chars)
 
 
