@@ -10,6 +10,7 @@ on in memory down to leaves, where all pairs are compared. Shards return spannin
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WORD, among, apart, columns, settled, small_batches, whole_groups
+from .shared import WORD, among, apart, columns, pack, ranges, settled, small_batches, tidied, unpack, whole_groups
 from .words import mixed_bits, run_hashes, word_hashes
 
 #: Fingerprints on which the tree is built, and the number meant for a shard.
@@ -36,6 +37,10 @@ COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_RADIUS = 5, 0.8, 16, 190
 BANDS, ROWS = 16, 4
 #: Units of a shard that are compared in a group, from each of two blocks.
 BLOCK = 512
+#: Documents whose shingles are counted so that frequent ones come last in a set, shingles that are known to be frequent, and bits of a parity.
+COUNTED, FREQUENT, PARITY = 8_192, 1 << 16, 1_024
+#: Bits of a rare shingle that go to a bucket, shingles meant for a bucket, and pairs of units that are compared at once.
+BITS, BUCKET, PAIRS = 48, 1 << 20, 1 << 17
 UPPER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _words = re.compile(WORD)
 
@@ -233,21 +238,75 @@ def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, text_id, key, n, bands)`` of each row, where equal shingle sets have equal keys."""
+def rare_first(hashes: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the sorted ``hashes`` by how often they were counted and then by value, as many as it takes: two sets of this similarity have one
+    of them in common, as all but so many of either are too few."""
+    least = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.argsort(times, kind="stable")[:least]] if times.any() else hashes[:least]
+
+
+def parity(hashes: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each of ``bits`` places, or of a power of two more for long sets. Sets differ in as many hashes as
+    their parities do, or more."""
+    while bits < 2 * len(hashes):
+        bits *= 2
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little")
+
+
+def folded(marks: bytes, size: int) -> np.ndarray:
+    """A parity of ``size`` bytes from one of more, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(marks, "<u8").reshape(-1, size // 8), axis=0)
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many elements sets of ``a`` and ``b`` elements differ at most if they have the similarity."""
+    return (a + b) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``COUNTED`` texts hold, and how many times as powers of two. Only the order of work depends on them."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    one_in = max(1, docs.count() // COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0), shingle)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    o = np.argsort(h)
+    return h[o], np.log2(n[o]).astype(np.int8)
+
+
+def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, text_id, key, n, bands, rare, parity)`` of each row, where equal shingle sets have equal keys."""
     small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(known >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
             if batch.num_rows:
-                sets = shingle_sets(batch.column(2), shingle)
+                sets, rare = shingle_sets(batch.column(2), shingle), []
+                for s in sets:
+                    times, due = np.zeros(len(s), np.int8), np.flatnonzero(maybe[s >> np.uint64(44)])
+                    if len(due):
+                        at = np.minimum(np.searchsorted(known, s[due]), len(known) - 1)
+                        times[due] = np.where(known[at] == s[due], often[at], np.int8(0))
+                    rare.append(rare_first(s, times, similarity).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(band_keys(sets)), pa.list_(pa.int64()))],
-                    names=["doc_id", "text_id", "key", "n", "bands"],
-                )
+                    [batch.column(0), batch.column(1), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(band_keys(sets)), pa.list_(pa.int64())),
+                     pa.array(rare, pa.list_(pa.int64())), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "text_id", "key", "n", "bands", "rare", "parity"],
+                )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, text_id bigint, key bigint, n bigint, bands array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, text_id bigint, key bigint, n bigint, bands array<bigint>, rare array<bigint>, parity binary")
 
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -348,6 +407,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(same >= F.lit(similarity) * (F.size("ha") + F.size("hb") - same)).select("a", "b")
 
 
+def _rest(units: DataFrame, similarity: float, block: int, bucket: int = BUCKET) -> DataFrame:
+    """Pairs of keys ``(a, b)`` of different components of ``units`` (``key``, ``n``, ``comp``, ``rare``, ``parity``) that may be similar. No such pair is left out: both hold one of their
+    rare shingles, their sizes allow the similarity, and so do their parities. Shingles go packed to buckets, only those that units of different
+    components hold come out again, and those of many are dealt to pairs of blocks."""
+    buckets = -(-max(1, units.agg(F.sum(F.size("rare"))).first()[0] or 0) // bucket)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            shingle, key, n, comp = (np.concatenate([h[i] for h in held]) for i in range(4))
+            to, shingle = (shingle % np.uint64(buckets)).astype(np.int64), shingle // np.uint64(buckets)
+            o, out = np.lexsort((shingle, to)), []
+            for part in np.split(o, np.flatnonzero(np.diff(to[o])) + 1):
+                steps = np.diff(shingle[part], prepend=np.uint64(0))
+                out.append((int(to[part[0]]), pack(steps, n[part], key[part].view(np.uint64), (comp[part] ^ key[part]).view(np.uint64))))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.binary()))], names=["bucket", "packed"])
+
+        for batch in batches:
+            key, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rare = batch.column(3)
+            size = np.diff(rare.offsets.to_numpy())
+            shingle = rare.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append([shingle >> np.uint64(64 - BITS), *(np.repeat(x, size) for x in (key, n, comp))])  # fewer bits only bring more candidates
+            if sum(len(h[0]) for h in held) >= bucket:
+                yield rows()
+                held = []
+        if sum(len(h[0]) for h in held):
+            yield rows()
+
+    def alive(held: pa.Table) -> pa.Table:
+        """The units that share a shingle with one of another component whose size allows the similarity, and their block."""
+        parts = [unpack(data, 4) for data in held["packed"].to_pylist()]
+        shingle, n, key, comp = (np.concatenate([np.cumsum(p[0]) if i == 0 else p[i] for p in parts]) for i in range(4))
+        o = np.lexsort((n, shingle))
+        same = shingle[o][1:] == shingle[o][:-1]
+        o = o[np.append(same, False) | np.append(False, same)]  # what one unit alone holds goes
+        shingle, n, key, comp = shingle[o], n[o].astype(np.int64), key[o], comp[o] ^ key[o]
+        number = np.cumsum(np.append(0, shingle[1:] != shingle[:-1])[: len(o)]).astype(np.int64) << 33
+        at, change = number + n, np.cumsum(np.append(0, comp[1:] != comp[:-1])[: len(o)])
+        low = np.searchsorted(at, number + np.ceil(similarity * n - 1e-6).astype(np.int64))
+        high = np.searchsorted(at, number + np.floor(n / similarity + 1e-6).astype(np.int64), side="right") - 1
+        stay = np.flatnonzero(change[high] > change[low])
+        number = number[stay] >> 33
+        size = np.bincount(number, minlength=1)[number] if len(stay) else number
+        parts = -(-size // block)
+        own = (key[stay] % parts.astype(np.uint64)).astype(np.int32) if len(stay) else number.astype(np.int32)
+        bucket_of = np.full(len(stay), held["bucket"][0].as_py())
+        return pa.table([pa.array(x) for x in (bucket_of, shingle[stay].view(np.int64), key[stay].view(np.int64), parts.astype(np.int32), own)], names=["bucket", "shingle", "key", "parts", "block"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for *group, key, marks, n, comp, own in whole_groups(batches, 4):
+                bits = np.stack([folded(x, PARITY // 8) for x in marks])
+                new = np.append(True, np.any([x[1:] != x[:-1] for x in group], axis=0))
+                end, rows, inner = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1], np.arange(len(key)), group[2] == group[3]
+                for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(end - rows - 1) // PAIRS)) + 1):
+                    j, i = ranges(part + 1, end[part] - part - 1)
+                    i = part[i]
+                    due = (comp[i] != comp[j]) & (inner[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                    i, j = i[due], j[due]
+                    most = most_apart(n[i], n[j], similarity)
+                    near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= most
+                    pairs = {}
+                    for x, y, z in zip(i[near].tolist(), j[near].tolist(), most[near].tolist()):
+                        pair, size = (min(key[x], key[y]), max(key[x], key[y])), min(len(marks[x]), len(marks[y]))
+                        if pair not in pairs:
+                            pairs[pair] = size * 8 == PARITY or np.bitwise_count(folded(marks[x], size) ^ folded(marks[y], size)).sum() <= z
+                    pairs = np.array([pair for pair, fine in pairs.items() if fine], np.int64).reshape(-1, 2)
+                    if len(pairs):
+                        yield pairs[:, 0], pairs[:, 1]
+
+        yield from _pairs_of(found())
+
+    sent = units.select("key", "n", "comp", "rare").mapInArrow(send, "bucket bigint, packed binary")
+    shared = settled(sent.groupBy("bucket").applyInArrow(alive, "bucket bigint, shingle bigint, key bigint, parts int, block int"))
+    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "block")
+    whole = among(units.select("key", "parity", "n", "comp"), shared.select("key").distinct(), "key")
+    work = ["bucket", "shingle", "lo", "hi"]
+    dealt = dealt.withColumn("k", apart("key")).join(whole.select(apart("key").alias("k"), "parity", "n", "comp"), "k").select(*work, "key", "parity", "n", "comp", "block")
+    return dealt.repartition(*work).sortWithinPartitions(*work).mapInArrow(compared, "a bigint, b bigint").distinct()
+
+
 def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -357,12 +499,20 @@ def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_
     nothing be pruned. So units (distinct shingle sets) are dealt to shards by bands of their least hashes, those of a shard whose fingerprints
     (of ``64 * WIDE`` bits) differ in ``radius`` bits or less are candidates, and each is verified by the whole shingle sets before it links. First
     each unit tries the one nearest to the middle of each of its shards; then all candidates between the components found are tried, so that only
-    pairs that are linked already are saved. Shards are cut into blocks of ``block`` units, whose middles are tried among themselves. Null and
+    pairs that are linked already are saved. Shards are cut into blocks of ``block`` units, whose middles are tried among themselves. Bands and fingerprints
+    may miss pairs, above all of short texts, so last of all every pair of different components that could be similar by its rarest shingles, sizes and parities is
+    verified (``_rest``): no link between components is left out. Null and
     empty texts are equal. A null ``doc_id`` takes part in links, but never is the smallest. Rows are told apart by id and text. An empty
     table gives an empty one. Other columns play no part.
     """
-    rows = settled(_sets(docs, shingle))
-    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("text_id", "doc_id")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    with tidied(docs.sparkSession):
+        return settled(_near_copies(docs, radius, shingle, similarity, block))
+
+
+def _near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float, block: int) -> DataFrame:
+    rows = settled(_sets(docs, shingle, similarity))
+    marks = "bands", "rare", "parity"
+    units = settled(rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("text_id", "doc_id")).alias("row"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in marks)))
     spread = units.select(F.explode("bands").alias("band"), "key")
     parts = F.ceil(F.count("*") / block).cast("int").alias("parts")
     shards = spread.groupBy("band").agg(parts, F.count("*").alias("units")).where("units > 1").select(apart("band").alias("k"), "parts")
@@ -380,13 +530,20 @@ def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, shingle: int = COPY_
         tied = connected_components(links).withColumnRenamed("node", "comp")
         return of.join(tied, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
-    linked = settled(named(settled(_verified(pairs, sets, similarity)), units.withColumn("comp", F.col("key"))))
+    def further(found: DataFrame, of: DataFrame) -> DataFrame:
+        """``of`` with the components that the pairs of keys in ``found`` join."""
+        at = {x: of.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}
+        links = found.select(apart("a").alias("ka"), apart("b").alias("kb")).join(at["a"], "ka").join(at["b"], "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        return settled(named(settled(links), of))
+
+    linked = settled(named(settled(_verified(pairs, sets, similarity)), units.drop("rare", "parity").withColumn("comp", F.col("key"))))
     whole = linked.select("key", "n", "comp", "bands").join(sets.select("key", "fp"), "key")
-    rest = settled(_between(met.join(whole, "key"), radius, similarity).join(pairs, ["a", "b"], "left_anti"))
-    found = _verified(rest, sets, similarity)
-    at = {x: linked.select(apart("key").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "ab"}
-    links = found.select(apart("a").alias("ka"), apart("b").alias("kb")).join(at["a"], "ka").join(at["b"], "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = named(settled(links), linked)
+    tried = settled(_between(met.join(whole, "key"), radius, similarity).join(pairs, ["a", "b"], "left_anti"))
+    linked = further(_verified(tried, sets, similarity), linked.drop("bands"))
+    whole = linked.select("key", "comp").join(units.select("key", "n", "rare", "parity"), "key")
+    rest = settled(_rest(whole, similarity, block).join(tried.union(pairs), ["a", "b"], "left_anti"))
+    asked = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    joined = further(_verified(rest, settled(_whole_sets(docs, units.join(asked, "key").select("row.*"), shingle)), similarity), linked)
     ids = joined.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of = joined.withColumn("k", apart("comp")).join(ids.select(apart("comp").alias("k"), "component_id"), "k").select(apart("key").alias("k"), F.col("comp").alias("group_id"), "component_id")
     return rows.withColumn("k", apart("key")).join(of, "k").select("doc_id", "text_id", "group_id", "component_id")
