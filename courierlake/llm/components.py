@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from courierlake.session import remove
 
-from .shared import apart, new_dir, settled
+from .shared import apart, new_dir, settled, unsized
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,13 @@ def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     pairs = both.where("b > a").select(apart("a").alias("k"), "b")
-    return pairs.join(least.select(apart("a").alias("k"), "m"), "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return pairs.join(unsized(least.select(apart("a").alias("k"), "m")), "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them. Edges run from a larger a to b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.select(apart("a").alias("k"), "b").join(least.select(apart("a").alias("k"), "m"), "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = edges.select(apart("a").alias("k"), "b").join(unsized(least.select(apart("a").alias("k"), "m")), "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select("a", F.col("m").alias("b"))).where("a > b")
 
 

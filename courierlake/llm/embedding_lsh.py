@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import apart, columns, settled, small_batches
+from .shared import apart, columns, settled, small_batches, unsized
 from .words import mixed_bits
 
 #: Tables with two hashes; each further hash doubles them, as it makes a near pair meet about half as often.
@@ -193,10 +193,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
     # A bucket of several blocks becomes all pairs of them, each with its own part of the work.
     sizes = sizes.select(apart("key").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = entries.withColumn("k", apart("key")).join(sizes, "k").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    placed = entries.withColumn("k", apart("key")).join(unsized(sizes), "k").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "t", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "own", "mine")
-    full = placed.join(coded.select("c", "x", "codes", "w"), "c").withColumn("codes", F.expr(f"substring(codes, 1, (t + 1) * {4 * probes})"))
+    full = unsized(placed).join(coded.select("c", "x", "codes", "w"), "c").withColumn("codes", F.expr(f"substring(codes, 1, (t + 1) * {4 * probes})"))
     work = ["key", "t", "i", "j"]
     dealt = full.repartition(*work).sortWithinPartitions(*work, "c").select(*work, "c", "own", "mine", "w", "x", "codes")
 
@@ -216,10 +216,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     found = settled(dealt.mapInArrow(links_of, "c bigint, links bigint, first bigint"))
     of = connected_components(found.select(F.col("c").alias("a"), F.col("first").alias("b")))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
-    joined = coded.join(links, "c", "left").join(of.withColumnRenamed("node", "c"), "c", "left")
+    joined = coded.join(unsized(links), "c", "left").join(unsized(of.withColumnRenamed("node", "c")), "c", "left")
     joined = joined.select("v", "least_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = joined.withColumn("k", apart("component")).join(ids.select(apart("component").alias("k"), "component_id"), "k").select("v", "n_links", "component_id")
-    linked = rows.where("v is not null").join(named, "v").select("id", "n_links", "component_id")
+    named = joined.withColumn("k", apart("component")).join(unsized(ids.select(apart("component").alias("k"), "component_id")), "k").select("v", "n_links", "component_id")
+    linked = rows.where("v is not null").join(unsized(named), "v").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumnRenamed("id", key)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WORD, among, apart, columns, pack, ranges, settled, small_batches, tidied, unpack, whole_groups
+from .shared import WORD, among, apart, columns, pack, ranges, settled, small_batches, tidied, unpack, unsized, whole_groups
 from .words import mixed_bits, run_hashes, word_hashes
 
 #: Fingerprints on which the tree is built, and the number meant for a shard.
@@ -486,7 +486,7 @@ def _rest(units: DataFrame, similarity: float, block: int, bucket: int = BUCKET)
     dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "block")
     whole = among(units.select("key", "parity", "n", "comp"), shared.select("key").distinct(), "key")
     work = ["bucket", "shingle", "lo", "hi"]
-    dealt = dealt.withColumn("k", apart("key")).join(whole.select(apart("key").alias("k"), "parity", "n", "comp"), "k").select(*work, "key", "parity", "n", "comp", "block")
+    dealt = unsized(dealt.withColumn("k", apart("key"))).join(whole.select(apart("key").alias("k"), "parity", "n", "comp"), "k").select(*work, "key", "parity", "n", "comp", "block")
     return dealt.repartition(*work).sortWithinPartitions(*work).mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
@@ -516,7 +516,7 @@ def _near_copies(docs: DataFrame, radius: int, shingle: int, similarity: float,
     spread = units.select(F.explode("bands").alias("band"), "key")
     parts = F.ceil(F.count("*") / block).cast("int").alias("parts")
     shards = spread.groupBy("band").agg(parts, F.count("*").alias("units")).where("units > 1").select(apart("band").alias("k"), "parts")
-    met = settled(spread.withColumn("k", apart("band")).join(shards, "k").select("band", "key", "parts", F.pmod("key", "parts").cast("int").alias("block")))
+    met = settled(spread.withColumn("k", apart("band")).join(unsized(shards), "k").select("band", "key", "parts", F.pmod("key", "parts").cast("int").alias("block")))
     inside = met.select("key").distinct()
     sets = settled(_whole_sets(docs, units.join(inside, "key").select("row.*"), shingle))
     marked = met.join(sets.select("key", "fp"), "key")
